@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lossledger.functions import energy_kwh, epoch_seconds, month_of, try_parse_minute
+from lossledger.functions import (
+    energy_kwh,
+    epoch_seconds,
+    month_of,
+    parse_minute,
+    try_parse_minute,
+)
 from lossledger.operators.quantiles import exact_quantiles
 from lossledger.operators.windows import previous_in_series
 from lossledger.params import Params
+from lossledger.sources.wide import clean_columns
 
 # Output name -> wide column name of the plant signals (fixed values).
 PLANT_COLUMNS = {
@@ -23,6 +30,14 @@ PLANT_COLUMNS = {
 }
 
 
+def plant_from_wide(wide: DataFrame, params: Params, timestamp: str = "timestamp") -> DataFrame:
+    """Cleaned plant signals with flags; only the nine signal columns are read."""
+    cleaned = wide.select(
+        parse_minute(F.col(timestamp)).alias("ts"), *clean_columns(wide, PLANT_COLUMNS)
+    )
+    return plant_flags(cleaned, params)
+
+
 def plant_flags(plant: DataFrame, params: Params) -> DataFrame:
     """Add three-valued ``is_day`` and ``is_curtailed`` to cleaned plant signals."""
     free = params.curtailment_free_pct

@@ -123,7 +123,7 @@ def inverter_summary(months: DataFrame) -> DataFrame:
 
 
 def inverter_timeseries(
-    rows: DataFrame, intervals: DataFrame, inverter: str, start: str, stop: str
+    rows: DataFrame, intervals: DataFrame, inverter: str | Column, start: str, stop: str
 ) -> DataFrame:
     """Reading, band and loss of one device in [start, stop).
 
@@ -147,7 +147,10 @@ def inverter_timeseries(
 
 
 def inverter_tickets(
-    tickets: DataFrame, inverter: str, start: str | None = None, stop: str | None = None
+    tickets: DataFrame,
+    inverter: str | Column,
+    start: str | None = None,
+    stop: str | None = None,
 ) -> DataFrame:
     """Dated tickets of one device, optionally only those inside [start, stop]."""
     found = tickets.where((F.col("inverter") == inverter) & F.col("start_ts").isNotNull())

@@ -37,11 +37,10 @@ DAILY = Params(
     dilation_offsets_minutes=(-1440, 0, 1440),
     meter_check_from="1998-06-01",
     meter_check_to="1998-09-01",
-    peak_from="2024-01-01",
-    peak_to="2024-02-01",
+    capacity_tolerance=0.9,
 )
 # Events come at any second of 2024; cut to five minutes they form an error series.
-FIVE_MINUTES = Params()
+FIVE_MINUTES = Params(peak_from="2024-01-01", peak_to="2024-02-01")
 
 DEVICE_GROUPS = range(1, 10)
 TARIFF_DATES = [
@@ -117,6 +116,32 @@ class DriverTables:
         )
         return context.plant_flags(rows, DAILY)
 
+    @cached_property
+    def plant_wide(self) -> DataFrame:
+        """The plant signals of each order as text with decimal commas, some unreadable."""
+        ts = F.col("o_orderdate")
+        key = F.col("o_orderkey")
+        names = context.PLANT_COLUMNS
+        cells = {
+            "irradiation_w_m2": F.when(F.pmod(key, F.lit(97)) == 0, "").otherwise(
+                comma(F.col("o_totalprice") / 300.0, 3)
+            ),
+            "altitude_deg": comma(F.month(ts) * 1.5 - 3.0, 1),
+            "ambient_temp_c": F.when(F.pmod(key, F.lit(31)) == 0, "Fehler").otherwise(
+                F.format_string("%d", F.pmod("o_custkey", F.lit(30)))
+            ),
+            "module_temp_c": F.format_string("%d.5", F.pmod("o_custkey", F.lit(40))),
+            "dv_pct": F.when(F.dayofmonth(ts) != 13, F.when(F.dayofyear(ts) % 29 == 0, "60,0").otherwise("100")),
+            "evu_pct": F.when(F.dayofyear(ts) % 53 == 0, "30,0").otherwise("100"),
+            "janitza_p_ac_kw": -F.col("o_totalprice"),
+            "cosphi": comma(F.pmod("o_custkey", F.lit(100)) / 100.0),
+        }
+        return self.read("orders").select(
+            "o_orderkey",
+            F.date_format(ts, "yyyy.MM.dd HH:mm").alias("timestamp"),
+            *[cell.alias(names[name]) for name, cell in cells.items()],
+        )
+
     @cached_property
     def readings_raw(self) -> DataFrame:
         lost = (F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 7)
@@ -338,7 +363,7 @@ class DriverTables:
     # irregular series ----------------------------------------------------------
     @cached_property
     def events(self) -> DataFrame:
-        return self.read("events").select("ts", "user_id", "event_type", "value")
+        return self.read("events").select("event_id", "ts", "user_id", "event_type", "value")
 
     @cached_property
     def event_plant(self) -> DataFrame:
