@@ -29,6 +29,7 @@ from lossledger.operators import (
     windows,
 )
 from lossledger.plans.driver_tables import DAILY, FIVE_MINUTES, DriverTables, comma, tables
+from lossledger.plans.oracle import ROUNDING_SHIFT
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -37,10 +38,11 @@ MONTHS = [f"{year}-{month:02d}" for year in range(1995, 2002) for month in range
 
 
 def _rounded(df: DataFrame, digits: int) -> DataFrame:
-    """Doubles rounded for comparison with another engine."""
+    """Doubles rounded for comparison with another engine, exact halves shifted away."""
+    shift = float(ROUNDING_SHIFT)
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+            F.round(F.col(f"`{f.name}`") + shift, digits).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`")
             for f in df.schema.fields

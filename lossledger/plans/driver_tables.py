@@ -124,7 +124,7 @@ class DriverTables:
         names = context.PLANT_COLUMNS
         cells = {
             "irradiation_w_m2": F.when(F.pmod(key, F.lit(97)) == 0, "").otherwise(
-                comma(F.col("o_totalprice") / 300.0, 3)
+                comma(F.floor(F.col("o_totalprice") / 3.0) / 100.0)
             ),
             "altitude_deg": comma(F.month(ts) * 1.5 - 3.0, 1),
             "ambient_temp_c": F.when(F.pmod(key, F.lit(31)) == 0, "Fehler").otherwise(
