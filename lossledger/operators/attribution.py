@@ -50,24 +50,31 @@ def error_context(
     return describe_codes(spread, catalog, params)
 
 
+def moments(binned_features: DataFrame, controls: DataFrame, fleet: DataFrame) -> DataFrame:
+    """All that is known about a timestamp in one row."""
+    return binned_features.join(
+        controls.select("ts", "dv_pct", "evu_pct", "plant_feed_in_kw"), "ts", "left"
+    ).join(fleet.select("ts", "fleet_median_kw_per_kwp"), "ts", "left")
+
+
 def interval_base(
-    readings: DataFrame,
-    binned_features: DataFrame,
-    controls: DataFrame,
-    fleet: DataFrame,
-    models: DataFrame,
-    params: Params,
+    readings: DataFrame, moments: DataFrame, models: DataFrame, params: Params
 ) -> DataFrame:
     """Readings in model daylight with bands, set-points, feed-in and fleet median.
 
-    All tables with one row per timestamp meet first, and all facts of a device are
-    one row, so the long readings take part in exactly two joins.
+    Timestamp facts are one row per timestamp and device facts one row per device,
+    so the long readings take part in exactly two joins.
     """
-    moment = (
-        binned_features.where("is_model_day")
-        .select("ts", "irradiation_w_m2", "bin", "fleet_p50_per_kwp", "is_model_day")
-        .join(controls.select("ts", "dv_pct", "evu_pct", "plant_feed_in_kw"), "ts", "left")
-        .join(fleet.select("ts", "fleet_median_kw_per_kwp"), "ts", "left")
+    daylight = moments.where("is_model_day").select(
+        "ts",
+        "irradiation_w_m2",
+        "bin",
+        "fleet_p50_per_kwp",
+        "is_model_day",
+        "dv_pct",
+        "evu_pct",
+        "plant_feed_in_kw",
+        "fleet_median_kw_per_kwp",
     )
     zero = F.lit(0.0)
     rows = readings.select(
@@ -77,7 +84,7 @@ def interval_base(
         F.col("p_ac_kw").isNull().alias("actual_missing"),
     )
     return (
-        predict(rows, moment, models, params)
+        predict(rows, daylight, models, params)
         .where("p50_twin_kw > 0")
         .withColumns(
             {
@@ -85,7 +92,8 @@ def interval_base(
                 "below_p10": ~F.col("actual_missing") & (F.col("actual_kw") < F.col("p10_twin_kw")),
             }
         )
-        .drop("curve", "bin", "fleet_p50_per_kwp", "eta_system", "residual_q10_kw", "residual_q90_kw")
+        .drop("curve", "bin", "fleet_p50_per_kwp", "eta_system")
+        .drop("low_factor", "low_shift", "high_factor", "high_shift")
     )
 
 

@@ -152,14 +152,8 @@ def physics_monthly(predictions: DataFrame, plant: DataFrame, params: Params) ->
 
 def _spread(df: DataFrame, value: str, stat: str) -> DataFrame:
     """(stat, min, median, max) of one column over a whole table."""
-    range_ = df.agg(F.min(value).alias("min_value"), F.max(value).alias("max_value"))
-    median = exact_quantiles(df, [], value, {"median_value": 0.5})
-    return range_.withColumn("median_value", median.scalar()).select(
-        F.lit(stat).alias("stat"),
-        F.col("min_value").cast("double").alias("min_value"),
-        "median_value",
-        F.col("max_value").cast("double").alias("max_value"),
-    )
+    ends = {"min_value": 0.0, "median_value": 0.5, "max_value": 1.0}
+    return exact_quantiles(df, [], value, ends).withColumn("stat", F.lit(stat))
 
 
 def physics_stats(eta: DataFrame, ratio: DataFrame, monthly: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ _Z = -1.6448536269514729
 
 def monthly_health(
     readings: DataFrame,
-    binned_features: DataFrame,
+    moments: DataFrame,
     models: DataFrame,
     error_intervals: DataFrame,
     params: Params,
@@ -24,7 +24,7 @@ def monthly_health(
 
     A group is one device in one calendar month.
     """
-    clear = binned_features.where(
+    clear = moments.where(
         F.col("is_day")
         & (F.col("irradiation_w_m2") > params.health_min_irradiation)
         & ~F.col("is_curtailed")
@@ -68,16 +68,20 @@ def theil_sen(health: DataFrame, params: Params) -> DataFrame:
 
     A device's months form one array (its length is the number of calendar months),
     and the pair slopes are computed inside that row: no pair ever becomes a row
-    and the only shuffle is the one that gathers the months.
+    and the only shuffle is the one that gathers the months. Its partition count is
+    stated because the work per byte is large, so partitions should not be merged
+    by size.
     """
     y = F.col("median_ratio")
+    tasks = int(health.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = (
-        health.where((F.col("month") >= F.lit(params.trend_from).cast("date")) & y.isNotNull())
+        health.repartition(tasks, "inverter")
+        .where((F.col("month") >= F.lit(params.trend_from).cast("date")) & y.isNotNull())
         .groupBy("inverter")
         .agg(
             F.min_by("module_type", "month").alias("module_type"),
             F.min("month").alias("_origin"),
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.when((y > 0) & ~F.isnan(y), F.struct("month", y.alias("y"))))
             ).alias("_raw"),
         )
@@ -101,13 +105,16 @@ def theil_sen(health: DataFrame, params: Params) -> DataFrame:
             ),
         )
     )
-    ys = F.array_sort(F.transform("_points", lambda p: p.y))
+    ys = F.sort_array(F.transform("_points", lambda p: p.y))
     xs = F.transform("_points", lambda p: p.x)
     # months are distinct, so only equal y values form tie groups
-    tie_term = F.aggregate(
-        F.array_distinct("_ys"),
-        F.lit(0.0),
-        lambda total, v: total + _tie(F.size(F.filter("_ys", lambda w: w == v)).cast("double")),
+    distinct = F.array_distinct("_ys")
+    tie_term = F.when(F.size(distinct) == F.size("_ys"), 0.0).otherwise(
+        F.aggregate(
+            distinct,
+            F.lit(0.0),
+            lambda total, v: total + _tie(F.size(F.filter("_ys", lambda w: w == v)).cast("double")),
+        )
     )
     n = F.size("_ys").cast("double")
     n_pairs = F.size("_slopes").cast("double")
@@ -117,7 +124,7 @@ def theil_sen(health: DataFrame, params: Params) -> DataFrame:
     slope = F.col("_slope")
     return (
         points.withColumns(
-            {"_slopes": F.array_sort(pair_slopes), "_ys": ys, "_xs": xs}
+            {"_slopes": F.sort_array(pair_slopes), "_ys": ys, "_xs": xs}
         )
         .withColumn("_ties", tie_term)
         .withColumn("_slope", _middle(F.col("_slopes")))
@@ -164,12 +171,9 @@ def slopes_by_module(slopes: DataFrame) -> DataFrame:
 def slope_summary(slopes: DataFrame) -> DataFrame:
     """Number of devices with a trend and the range of their slopes."""
     value = "slope_pct_per_year"
-    median = exact_quantiles(slopes, [], value, {"m": 0.5})
-    return slopes.agg(
-        F.count(F.lit(1)).alias("n_inverters"),
-        F.min(value).alias("min_slope_pct_per_year"),
-        F.max(value).alias("max_slope_pct_per_year"),
-    ).withColumn("median_slope_pct_per_year", median.scalar())
+    spread = {f"{k}_slope_pct_per_year": p for k, p in (("min", 0.0), ("median", 0.5), ("max", 1.0))}
+    number = slopes.agg(F.count(F.lit(1))).scalar()
+    return exact_quantiles(slopes, [], value, spread).withColumn("n_inverters", number)
 
 
 def major_groups(slopes: DataFrame, params: Params) -> DataFrame:
@@ -191,12 +195,6 @@ def major_groups(slopes: DataFrame, params: Params) -> DataFrame:
 def group_quartiles(grouped: DataFrame) -> DataFrame:
     """Box-plot figures of the slope per module group."""
     value = "slope_pct_per_year"
-    ends = grouped.groupBy("module_group").agg(
-        F.count(F.lit(1)).alias("n_inverters"),
-        F.min(value).alias("min_slope"),
-        F.max(value).alias("max_slope"),
-    )
-    quartiles = exact_quantiles(
-        grouped, ["module_group"], value, {"q1_slope": 0.25, "median_slope": 0.5, "q3_slope": 0.75}
-    )
-    return ends.join(quartiles, "module_group")
+    counts = grouped.groupBy("module_group").agg(F.count(F.lit(1)).alias("n_inverters"))
+    box = {"min_slope": 0.0, "q1_slope": 0.25, "median_slope": 0.5, "q3_slope": 0.75, "max_slope": 1.0}
+    return counts.join(exact_quantiles(grouped, ["module_group"], value, box), "module_group")

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lossledger.functions import clip_to_capacity, cyclic_features, energy_kwh, month_of
+from lossledger.functions import clip_to_capacity, cyclic_features, month_of
 from lossledger.operators.baseline import derating
 from lossledger.operators.quantiles import exact_quantiles
 from lossledger.operators.windows import rolling_neighbours
@@ -171,11 +171,27 @@ def fit_fleet_curve(split: DataFrame, params: Params) -> DataFrame:
 
 
 def device_models(
-    inverters: DataFrame, eta: DataFrame, curve: DataFrame, metrics: DataFrame | None = None
+    inverters: DataFrame,
+    eta: DataFrame,
+    curve: DataFrame,
+    params: Params,
+    metrics: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per device with all that prediction needs; the curve is a map of few bins."""
-    curves = curve.groupBy("inverter").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "p50_per_kwp"))).alias("curve")
+    """One row per device with all that prediction needs.
+
+    The curve is an array indexed by bin (curve_max_bin + 1 slots). Each band is a
+    line over p50: shifted by the residual quantile, or scaled by the physics band
+    factor for a device without held-out rows.
+    """
+    points = F.map_from_entries(F.collect_list(F.struct("bin", "p50_per_kwp")))
+    bins = F.sequence(F.lit(0), F.lit(params.curve_max_bin))
+    curves = (
+        curve.groupBy("inverter")
+        .agg(points.alias("_points"))
+        .select(
+            "inverter",
+            F.transform(bins, lambda b: F.try_element_at("_points", b)).alias("curve"),
+        )
     )
     models = (
         inverters.where("kwp > 0")
@@ -185,16 +201,36 @@ def device_models(
     )
     if metrics is None:
         return models
-    bands = metrics.select("inverter", "residual_q10_kw", "residual_q90_kw")
-    return models.join(bands, "inverter", "left")
+    quantiles = metrics.select("inverter", "residual_q10_kw", "residual_q90_kw")
+    return with_band_lines(models.join(quantiles, "inverter", "left"), params)
+
+
+def with_band_lines(models: DataFrame, params: Params) -> DataFrame:
+    """Replace the residual quantiles by (factor, shift) of the lower and upper band."""
+    sides = (
+        ("low", "residual_q10_kw", params.physics_p10_factor),
+        ("high", "residual_q90_kw", params.physics_p90_factor),
+    )
+    lines = {}
+    for side, quantile, factor in sides:
+        known = F.col(quantile).isNotNull()
+        lines[f"{side}_factor"] = F.when(known, 1.0).otherwise(factor)
+        lines[f"{side}_shift"] = F.coalesce(quantile, F.lit(0.0))
+    return models.withColumns(lines).drop("residual_q10_kw", "residual_q90_kw")
+
 
+def curve_p50(params: Params, bin_: Column | None = None, fleet: Column | None = None) -> Column:
+    """Expected power of a row holding curve, eta_system and kwp, in a physics bin.
 
-def curve_p50(params: Params) -> Column:
-    """Expected power of a row holding bin, curve, fleet_p50_per_kwp, eta_system and kwp."""
-    middle = (F.col("bin") + 0.5) / params.curve_bins_per_unit
+    Never NULL, so a plain clip is enough; every input is named once, which keeps
+    filters on the result small when they move below it.
+    """
+    bin_ = F.col("bin") if bin_ is None else bin_
+    fleet = F.col("fleet_p50_per_kwp") if fleet is None else fleet
+    middle = (bin_ + 0.5) / params.curve_bins_per_unit
     physics = F.least(F.lit(1.0), middle * F.coalesce("eta_system", F.lit(params.default_eta)))
-    specific = F.coalesce(F.try_element_at("curve", F.col("bin")), "fleet_p50_per_kwp", physics)
-    return clip_to_capacity(F.col("kwp") * specific, F.col("kwp"))
+    specific = F.coalesce(F.get("curve", bin_), fleet, physics)
+    return F.col("kwp") * F.least(F.lit(1.0), F.greatest(F.lit(0.0), specific))
 
 
 def with_bins(features: DataFrame, fleet_curve: DataFrame, params: Params) -> DataFrame:
@@ -219,8 +255,8 @@ def holdout_predictions(
 def validation_metrics(holdout: DataFrame, split: DataFrame) -> DataFrame:
     """Error, bias, fit and residual quantiles per device on held-out rows.
 
-    Band coverage needs the quantiles first; they come back to the rows as a map
-    side join on the device.
+    Band coverage needs the quantiles first; they come back to the rows by a join
+    on the device.
     """
     actual, predicted = F.col("p_ac_kw"), F.col("p50")
     error = predicted - actual
@@ -233,11 +269,16 @@ def validation_metrics(holdout: DataFrame, split: DataFrame) -> DataFrame:
         F.sum(F.abs(error)).alias("_abs"),
         F.sum(actual).alias("_energy"),
         F.var_pop(actual).alias("_var"),
-        F.percentile(actual - predicted, F.lit(0.10)).alias("residual_q10_kw"),
-        F.percentile(actual - predicted, F.lit(0.90)).alias("residual_q90_kw"),
     )
-    quantiles = per_device.select("inverter", "residual_q10_kw", "residual_q90_kw")
-    p10, p90 = bands(predicted)
+    quantiles = exact_quantiles(
+        holdout.withColumn("_residual", actual - predicted),
+        ["inverter"],
+        "_residual",
+        {"residual_q10_kw": 0.10, "residual_q90_kw": 0.90},
+    )
+    p10, p90 = bands(
+        predicted, predicted + F.col("residual_q10_kw"), predicted + F.col("residual_q90_kw")
+    )
     coverage = (
         holdout.join(quantiles, "inverter")
         .groupBy("inverter")
@@ -246,7 +287,8 @@ def validation_metrics(holdout: DataFrame, split: DataFrame) -> DataFrame:
     fitted = split.groupBy("inverter").agg(F.count_if("is_fit").alias("n_train"))
     kwp = F.nullif(F.col("kwp"), F.lit(0.0))
     return (
-        per_device.join(coverage, "inverter")
+        per_device.join(quantiles, "inverter")
+        .join(coverage, "inverter")
         .join(fitted, "inverter")
         .select(
             "inverter",
@@ -268,67 +310,66 @@ def validation_metrics(holdout: DataFrame, split: DataFrame) -> DataFrame:
     )
 
 
-def bands(p50: Column, params: Params | None = None) -> tuple[Column, Column]:
-    """(p10, p90): p50 shifted by the device's residual quantiles, within [0, kwp], around p50.
-
-    With ``params`` a device without quantiles gets the physics band factors.
-    """
-    low, high = p50 + F.col("residual_q10_kw"), p50 + F.col("residual_q90_kw")
-    if params is not None:
-        low = F.coalesce(low, p50 * params.physics_p10_factor)
-        high = F.coalesce(high, p50 * params.physics_p90_factor)
-    kwp = F.col("kwp")
-    return F.least(p50, clip_to_capacity(low, kwp)), F.greatest(p50, clip_to_capacity(high, kwp))
+def bands(p50: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """(p10, p90) around p50 and within [0, kwp], given the raw band ends and 0 <= p50 <= kwp."""
+    return F.greatest(F.lit(0.0), F.least(p50, low)), F.greatest(p50, F.least(F.col("kwp"), high))
 
 
-def predict(
-    rows: DataFrame, binned_features: DataFrame, models: DataFrame, params: Params
-) -> DataFrame:
+def predict(rows: DataFrame, moments: DataFrame, models: DataFrame, params: Params) -> DataFrame:
     """Bands for the (ts, inverter) pairs of ``rows``; zero outside model daylight.
 
     Wide telemetry unpivots to every (timestamp, device) pair, so predicting its
     rows replays the whole history for the whole fleet in one job.
     """
-    p50 = F.when(F.col("is_model_day"), curve_p50(params)).otherwise(0.0)
-    p10, p90 = bands(F.col("p50_twin_kw"), params)
-    night = ~F.col("is_model_day")
+    p50 = F.col("p50_twin_kw")
+    p10, p90 = bands(
+        p50,
+        p50 * F.col("low_factor") + F.col("low_shift"),
+        p50 * F.col("high_factor") + F.col("high_shift"),
+    )
+    day = F.col("is_model_day")
     return (
-        rows.join(binned_features, "ts")
+        rows.join(moments, "ts")
         .join(models, "inverter")
-        .withColumn("p50_twin_kw", p50)
+        .withColumn("p50_twin_kw", F.when(day, curve_p50(params)).otherwise(0.0))
         .withColumns(
             {
-                "p10_twin_kw": F.when(night, 0.0).otherwise(p10),
-                "p90_twin_kw": F.when(night, 0.0).otherwise(p90),
+                "p10_twin_kw": F.when(day, p10).otherwise(0.0),
+                "p90_twin_kw": F.when(day, p90).otherwise(0.0),
             }
         )
     )
 
 
-def expected_monthly(binned_features: DataFrame, models: DataFrame, params: Params) -> DataFrame:
+def expected_monthly(moments: DataFrame, models: DataFrame, params: Params) -> DataFrame:
     """(month, inverter, module_type, expected_daylight_kwh) for every device and month.
 
-    Days fold into (month, bin) counts before they meet a device: months x bins rows
-    per device instead of one row per timestamp and device.
+    Timestamps fold into (month, bin) counts before they meet a device. That calendar
+    is one small value (months x at most curve_max_bin + 1 bins); each device row expands
+    to its months and sums a month's bins in place, with no shuffle and no
+    timestamps x devices grid.
     """
-    counts = (
-        binned_features.where("is_model_day")
+    bins = (
+        moments.where("is_model_day")
         .groupBy(month_of(F.col("ts")).alias("month"), "bin", "fleet_p50_per_kwp")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("month")
+        .agg(F.sort_array(F.collect_list(F.struct("bin", "fleet_p50_per_kwp", "n"))).alias("bins"))
     )
-    # One row: the calendar as an array of at most months x bins small entries.
-    calendar = counts.agg(
-        F.collect_list(F.struct("month", "bin", "fleet_p50_per_kwp", "_n")).alias("calendar")
+    calendar = bins.agg(F.collect_list(F.struct("month", "bins"))).scalar()
+    energy = F.aggregate(
+        F.col("_slot.bins"),
+        F.lit(0.0),
+        lambda total, b: total + curve_p50(params, b.bin, b.fleet_p50_per_kwp) * b.n,
     )
     return (
-        models.withColumn("_slot", F.explode(calendar.scalar()))
-        .select("inverter", "module_type", "kwp", "eta_system", "curve", "_slot.*")
-        .groupBy("month", "inverter")
-        .agg(
-            F.first("module_type").alias("module_type"),
-            F.sum(energy_kwh(curve_p50(params), params.step_hours) * F.col("_n")).alias(
-                "expected_daylight_kwh"
-            ),
+        models.withColumn("_calendar", calendar)
+        .withColumn("_slot", F.explode("_calendar"))
+        .select(
+            F.col("_slot.month").alias("month"),
+            "inverter",
+            "module_type",
+            (energy * params.step_hours).alias("expected_daylight_kwh"),
         )
     )
 
@@ -338,9 +379,11 @@ def evaluation(metrics: DataFrame) -> DataFrame:
     out = None
     for name in ("nrmse", "r2", "energy_weighted_abs_error", "band_coverage"):
         median = exact_quantiles(metrics, [], name, {"median_value": 0.5})
-        row = metrics.agg(F.avg(name).alias("mean_value"), F.max(name).alias("max_value")).select(
-            F.lit(name).alias("metric"), "mean_value", "max_value"
-        ).withColumn("median_value", median.scalar())
+        row = (
+            metrics.agg(F.avg(name).alias("mean_value"), F.max(name).alias("max_value"))
+            .select(F.lit(name).alias("metric"), "mean_value", "max_value")
+            .withColumn("median_value", median.scalar())
+        )
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -320,12 +320,12 @@ def _(d: DriverTables) -> DataFrame:
 
 @query("q_performance_ratio")
 def _(d: DriverTables) -> DataFrame:
-    return d.run.performance_ratio
+    return d.run.build_performance_ratio()
 
 
 @query("q_physics_monthly")
 def _(d: DriverTables) -> DataFrame:
-    return d.run.physics_monthly
+    return d.run.build_physics_monthly()
 
 
 @query("q_physics_stats")
@@ -384,13 +384,14 @@ def _(d: DriverTables) -> DataFrame:
     models = groups.withColumns(
         {
             "eta_system": unknown,
-            "curve": F.lit(None).cast("map<int,double>"),
+            "curve": F.lit(None).cast("array<double>"),
             "residual_q10_kw": unknown,
             "residual_q90_kw": unknown,
         }
     )
     pairs = reshape.unpivot_readings(d.wide_main).select("ts", "inverter")
-    return twin.predict(pairs, d.run.binned_features, models, DAILY).select(
+    models = twin.with_band_lines(models, DAILY)
+    return twin.predict(pairs, d.run.moments, models, DAILY).select(
         "ts", "inverter", "p10_twin_kw", "p50_twin_kw", "p90_twin_kw"
     )
 

@@ -99,16 +99,22 @@ class LedgerRun:
             self.readings, self.inverters, self.plant, self.eta, self.fleet, self.params
         )
 
-    @cached_property
-    def physics_monthly(self) -> DataFrame:
+    def build_physics_monthly(self) -> DataFrame:
         return baseline.physics_monthly(self.physics, self.plant, self.params)
 
     @cached_property
-    def performance_ratio(self) -> DataFrame:
+    def physics_monthly(self) -> DataFrame:
+        return self.staging.table("physics_monthly", self.build_physics_monthly)
+
+    def build_performance_ratio(self) -> DataFrame:
         return baseline.performance_ratio_monthly(
             self.readings, self.inverters, self.plant, self.params
         )
 
+    @cached_property
+    def performance_ratio(self) -> DataFrame:
+        return self.staging.table("performance_ratio", self.build_performance_ratio)
+
     # twin ----------------------------------------------------------------------
     def build_features(self) -> DataFrame:
         return twin.twin_features(self.inputs.plant, self.params)
@@ -143,10 +149,16 @@ class LedgerRun:
             "fleet_curve", lambda: twin.fit_fleet_curve(self.split, self.params)
         )
 
+    @cached_property
+    def holdout(self) -> DataFrame:
+        def build() -> DataFrame:
+            models = twin.device_models(self.inverters, self.eta, self.curve, self.params)
+            return twin.holdout_predictions(self.split, models, self.fleet_curve, self.params)
+
+        return self.staging.table("holdout", build)
+
     def build_metrics(self) -> DataFrame:
-        models = twin.device_models(self.inverters, self.eta, self.curve)
-        holdout = twin.holdout_predictions(self.split, models, self.fleet_curve, self.params)
-        return twin.validation_metrics(holdout, self.split)
+        return twin.validation_metrics(self.holdout, self.split)
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -156,21 +168,27 @@ class LedgerRun:
     def models(self) -> DataFrame:
         return self.staging.table(
             "models",
-            lambda: twin.device_models(self.inverters, self.eta, self.curve, self.metrics),
+            lambda: twin.device_models(
+                self.inverters, self.eta, self.curve, self.params, self.metrics
+            ),
         )
 
     @cached_property
-    def binned_features(self) -> DataFrame:
-        return twin.with_bins(self.features, self.fleet_curve, self.params)
+    def moments(self) -> DataFrame:
+        def build() -> DataFrame:
+            binned = twin.with_bins(self.features, self.fleet_curve, self.params)
+            return attribution.moments(binned, self.controls, self.fleet)
+
+        return self.staging.table("moments", build)
 
     @cached_property
     def predictions(self) -> DataFrame:
-        return twin.predict(self.readings, self.binned_features, self.models, self.params)
+        return twin.predict(self.readings, self.moments, self.models, self.params)
 
     # trend ---------------------------------------------------------------------
     def build_health(self) -> DataFrame:
         return trend.monthly_health(
-            self.readings, self.binned_features, self.models, self.error_intervals, self.params
+            self.readings, self.moments, self.models, self.error_intervals, self.params
         )
 
     @cached_property
@@ -186,7 +204,7 @@ class LedgerRun:
 
     @cached_property
     def expected_monthly(self) -> DataFrame:
-        return twin.expected_monthly(self.binned_features, self.models, self.params)
+        return twin.expected_monthly(self.moments, self.models, self.params)
 
     # attribution ---------------------------------------------------------------
     def build_error_context(self) -> DataFrame:
@@ -197,7 +215,7 @@ class LedgerRun:
     @cached_property
     def interval_base(self) -> DataFrame:
         return attribution.interval_base(
-            self.readings, self.binned_features, self.controls, self.fleet, self.models, self.params
+            self.readings, self.moments, self.models, self.params
         )
 
     def build_intervals(self) -> DataFrame:
