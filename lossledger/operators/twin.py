@@ -20,6 +20,11 @@ from lossledger.operators.quantiles import exact_quantiles
 from lossledger.operators.windows import rolling_neighbours
 from lossledger.params import Params
 
+# Model values are kept to these digits. A reading can lie exactly on its band end;
+# rounding makes that comparison the same whatever order values were summed in.
+_CURVE_DIGITS = 12
+_RESIDUAL_DIGITS = 9
+
 FEATURES = (
     "irradiation_w_m2",
     "altitude_deg",
@@ -156,7 +161,7 @@ def fit_curve(split: DataFrame, params: Params) -> DataFrame:
         split.where("is_fit")
         .groupBy("inverter", physics_bin(params).alias("bin"))
         .agg(
-            F.median(F.col("p_ac_kw") / F.col("kwp")).alias("p50_per_kwp"),
+            F.round(F.median(F.col("p_ac_kw") / F.col("kwp")), _CURVE_DIGITS).alias("p50_per_kwp"),
             F.count(F.lit(1)).alias("n_rows"),
         )
     )
@@ -167,7 +172,9 @@ def fit_fleet_curve(split: DataFrame, params: Params) -> DataFrame:
     rows = split.where("is_fit").select(
         physics_bin(params).alias("bin"), (F.col("p_ac_kw") / F.col("kwp")).alias("specific")
     )
-    return exact_quantiles(rows, ["bin"], "specific", {"fleet_p50_per_kwp": 0.5})
+    return exact_quantiles(rows, ["bin"], "specific", {"fleet_p50_per_kwp": 0.5}).withColumn(
+        "fleet_p50_per_kwp", F.round("fleet_p50_per_kwp", _CURVE_DIGITS)
+    )
 
 
 def device_models(
@@ -275,6 +282,8 @@ def validation_metrics(holdout: DataFrame, split: DataFrame) -> DataFrame:
         ["inverter"],
         "_residual",
         {"residual_q10_kw": 0.10, "residual_q90_kw": 0.90},
+    ).withColumns(
+        {q: F.round(q, _RESIDUAL_DIGITS) for q in ("residual_q10_kw", "residual_q90_kw")}
     )
     p10, p90 = bands(
         predicted, predicted + F.col("residual_q10_kw"), predicted + F.col("residual_q90_kw")
