@@ -13,6 +13,7 @@ from lossledger.functions.columns import (
     ticket_text,
     try_parse_minute,
     utc_naive,
+    within,
 )
 
 __all__ = [
@@ -30,4 +31,5 @@ __all__ = [
     "ticket_text",
     "try_parse_minute",
     "utc_naive",
+    "within",
 ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lossledger.params import BUCKET_LABELS
 
@@ -87,6 +87,15 @@ def month_of(ts: Column) -> Column:
     return F.trunc(ts.cast("date"), "month")
 
 
+def within(df: DataFrame, start: str, stop: str) -> DataFrame:
+    """Rows with start <= ts < stop; a month-partitioned table reads only the months in range."""
+    first, end = (F.lit(t).cast("timestamp_ntz") for t in (start, stop))
+    rows = df.where((F.col("ts") >= first) & (F.col("ts") < end))
+    if "month" in df.columns:
+        rows = rows.where((F.col("month") >= month_of(first)) & (F.col("month") <= month_of(end)))
+    return rows
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970 of a zone-free timestamp, whatever the session zone is."""
     days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")

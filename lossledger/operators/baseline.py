@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lossledger.functions import clip_to_capacity, energy_kwh, month_of
+from lossledger.functions import clip_to_capacity, energy_kwh, month_of, within
 from lossledger.operators.quantiles import exact_quantiles
 from lossledger.params import Params
 
@@ -33,18 +33,16 @@ def fit_eta(
     readings: DataFrame, inverters: DataFrame, plant: DataFrame, params: Params
 ) -> DataFrame:
     """Median ratio of real to ideal output over the clean rows of the training window."""
-    start = F.lit(params.train_from).cast("timestamp_ntz")
-    stop = F.lit(params.train_to).cast("timestamp_ntz")
-    window = (F.col("ts") >= start) & (F.col("ts") < stop)
-    sunny = plant.where(
-        window
-        & (F.col("altitude_deg") > params.day_altitude_deg)
+    year = (params.train_from, params.train_to)
+    sunny = within(plant, *year).where(
+        (F.col("altitude_deg") > params.day_altitude_deg)
         & (F.col("irradiation_w_m2") > params.eta_min_irradiation)
         & ~F.coalesce("is_curtailed", F.lit(False))
     ).select("ts", "irradiation_w_m2", "module_temp_c", "ambient_temp_c")
     ratio = F.col("p_ac_kw") / F.col("_ideal")
     return (
-        readings.where(window & (F.col("p_ac_kw") > 0))
+        within(readings, *year)
+        .where("p_ac_kw > 0")
         .select("ts", "inverter", "p_ac_kw")
         .join(sunny, "ts")
         .join(inverters.select("inverter", "kwp"), "inverter")
@@ -172,12 +170,11 @@ def daily_peak(plant: DataFrame, params: Params) -> DataFrame:
 
     The peak row of a day is an aggregate that combines map-side.
     """
-    start = F.lit(params.peak_from).cast("timestamp_ntz")
-    stop = F.lit(params.peak_to).cast("timestamp_ntz")
     ts = F.col("ts")
     at = F.col("peak.ts")
     return (
-        plant.where(F.col("altitude_deg").isNotNull() & (ts >= start) & (ts < stop))
+        within(plant, params.peak_from, params.peak_to)
+        .where("altitude_deg is not null")
         .groupBy(ts.cast("date").alias("d"))
         .agg(
             F.max("altitude_deg").alias("altitude_deg"),

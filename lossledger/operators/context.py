@@ -10,6 +10,7 @@ from lossledger.functions import (
     month_of,
     parse_minute,
     try_parse_minute,
+    within,
 )
 from lossledger.operators.quantiles import exact_quantiles
 from lossledger.operators.windows import previous_in_series
@@ -99,7 +100,8 @@ def readings_with_context(
         "is_curtailed",
     )
     return (
-        readings.join(device, "inverter", "left")
+        readings.select("ts", "inverter", "p_ac_kw", "i_dc_a", "u_dc_v")
+        .join(device, "inverter", "left")
         .join(weather, "ts", "left")
         .withColumn("p_ac_per_kwp", per_kwp())
     )
@@ -134,8 +136,10 @@ def fleet_profile(readings: DataFrame, inverters: DataFrame, plant: DataFrame) -
 def readings_monthly(
     readings: DataFrame, inverters: DataFrame, plant: DataFrame, params: Params
 ) -> DataFrame:
-    joined = readings.join(inverters.select("inverter", "kwp"), "inverter").join(
-        plant.select("ts", "is_day"), "ts"
+    joined = (
+        readings.select("ts", "inverter", "p_ac_kw")
+        .join(inverters.select("inverter", "kwp"), "inverter")
+        .join(plant.select("ts", "is_day"), "ts")
     )
     return joined.groupBy(month_of(F.col("ts")).alias("month"), "inverter").agg(
         F.sum(energy_kwh(F.col("p_ac_kw"), params.step_hours)).alias("energy_kwh"),
@@ -147,12 +151,10 @@ def readings_monthly(
 
 def meter_check(readings: DataFrame, plant: DataFrame, params: Params) -> DataFrame:
     """Sum of the devices against the plant meter (negative = feed-in) in a sample window."""
-    start = F.lit(params.meter_check_from).cast("timestamp_ntz")
-    stop = F.lit(params.meter_check_to).cast("timestamp_ntz")
     total = F.col("inverter_p_ac_kw")
     gap = F.abs(total + F.col("janitza_p_ac_kw"))
     summed = (
-        readings.where((F.col("ts") >= start) & (F.col("ts") < stop))
+        within(readings, params.meter_check_from, params.meter_check_to)
         .groupBy("ts")
         .agg(F.sum("p_ac_kw").alias("inverter_p_ac_kw"))
         .where(total > params.meter_check_min_kw)

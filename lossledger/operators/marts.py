@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lossledger import params as P
-from lossledger.functions import bucket_label
+from lossledger.functions import bucket_label, within
 
 
 def _verified() -> Column:
@@ -131,12 +131,7 @@ def inverter_timeseries(
     """
 
     def window(df: DataFrame) -> DataFrame:
-        ts = F.col("ts")
-        return df.where(
-            (F.col("inverter") == inverter)
-            & (ts >= F.lit(start).cast("timestamp_ntz"))
-            & (ts < F.lit(stop).cast("timestamp_ntz"))
-        )
+        return within(df.where(F.col("inverter") == inverter), start, stop)
 
     losses = window(intervals).select("ts", "inverter", "bucket", "lost_eur")
     return (

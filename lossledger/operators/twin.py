@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lossledger.functions import clip_to_capacity, cyclic_features, month_of
+from lossledger.functions import clip_to_capacity, cyclic_features, month_of, within
 from lossledger.operators.baseline import derating
 from lossledger.operators.quantiles import exact_quantiles
 from lossledger.operators.windows import rolling_neighbours
@@ -85,12 +85,10 @@ def training_rows(
     params: Params,
 ) -> DataFrame:
     """Clean rows of the training window: bright, uncurtailed, error-free, producing."""
-    start = F.lit(params.train_from).cast("timestamp_ntz")
-    stop = F.lit(params.train_to).cast("timestamp_ntz")
-    window = (F.col("ts") >= start) & (F.col("ts") < stop)
-    bright = features.where(
-        window
-        & F.col("is_model_day")
+    year = (params.train_from, params.train_to)
+    failed = within(error_intervals, *year).select("ts", "inverter")
+    bright = within(features, *year).where(
+        F.col("is_model_day")
         & (F.col("irradiation_w_m2") > params.train_min_irradiation)
         & ~F.col("is_curtailed")
     )
@@ -100,9 +98,10 @@ def training_rows(
     eta_known = F.coalesce("eta_system", F.lit(params.default_eta))
     physics = F.col("kwp") * F.col("physics_base_kw_per_kwp") * eta_known
     return (
-        readings.where(window & (F.col("p_ac_kw") > 0))
+        within(readings, *year)
+        .where("p_ac_kw > 0")
         .select("ts", "inverter", "p_ac_kw")
-        .join(error_intervals.where(window).select("ts", "inverter"), ["ts", "inverter"], "left_anti")
+        .join(failed, ["ts", "inverter"], "left_anti")
         .join(bright, "ts")
         .join(device, "inverter")
         .select(

@@ -426,7 +426,8 @@ class DriverTables:
             tickets=self.tickets,
             error_catalog=self.error_catalog,
         )
-        return LedgerRun(inputs, DAILY, Staging(self.spark))
+        # A month holds few rows here; one file each would only slow the scans.
+        return LedgerRun(inputs, DAILY, Staging(self.spark), by_month=False)
 
 
 _open: dict[tuple[str, str, str], DriverTables] = {}

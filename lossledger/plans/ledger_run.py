@@ -7,11 +7,13 @@ and fuse into the query that uses them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lossledger.functions import month_of
 from lossledger.operators import attribution, baseline, context, ledger, tickets, trend, twin
 from lossledger.params import Params
 from lossledger.sources import Staging
@@ -31,10 +33,19 @@ class Inputs:
 
 
 class LedgerRun:
-    def __init__(self, inputs: Inputs, params: Params, staging: Staging):
+    """``by_month`` partitions the long tables, so that time windows read only their months."""
+
+    def __init__(self, inputs: Inputs, params: Params, staging: Staging, by_month: bool = True):
         self.inputs = inputs
         self.params = params
         self.staging = staging
+        self.by_month = by_month
+
+    def _long_table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if not self.by_month:
+            return self.staging.table(name, build)
+        month = month_of(F.col("ts"))
+        return self.staging.table(name, lambda: build().withColumn("month", month), ["month"])
 
     # canonical inputs ---------------------------------------------------------
     @cached_property
@@ -47,7 +58,7 @@ class LedgerRun:
 
     @cached_property
     def readings(self) -> DataFrame:
-        return self.staging.table(
+        return self._long_table(
             "readings", lambda: context.canonical_readings(self.inputs.readings)
         )
 
@@ -229,7 +240,7 @@ class LedgerRun:
 
     @cached_property
     def intervals(self) -> DataFrame:
-        return self.staging.table("loss_intervals", self.build_intervals)
+        return self._long_table("loss_intervals", self.build_intervals)
 
     # ledger --------------------------------------------------------------------
     @cached_property

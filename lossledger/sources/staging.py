@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lossledger.sources.sinks import write_table
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a scratch folder only in local mode."""
@@ -32,9 +34,10 @@ class Staging:
         self.root = f"{checkpoint_root(spark)}/stage-{uuid.uuid4().hex}"
         self._tables: dict[str, DataFrame] = {}
 
-    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def table(
+        self, name: str, build: Callable[[], DataFrame], partition_by: list[str] | None = None
+    ) -> DataFrame:
         if name not in self._tables:
             path = f"{self.root}/{name}"
-            build().write.mode("errorifexists").parquet(path)
-            self._tables[name] = self.spark.read.parquet(path)
+            self._tables[name] = write_table(build(), path, partition_by)
         return self._tables[name]

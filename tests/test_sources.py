@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lossledger import sources
+from lossledger.functions import month_of, within
 from lossledger.operators import context, marts, reshape
 from lossledger.params import Params
 
@@ -82,3 +83,14 @@ def test_staging_writes_once(spark):
 
     assert staging.table("x", build).count() == staging.table("x", build).count() == 3
     assert len(calls) == 1
+
+
+def test_month_partitions_are_pruned(spark):
+    rows = spark.range(200).select(
+        F.expr("timestamp_ntz'2020-01-01 00:00:00' + id * interval 1 day").alias("ts"), F.lit("d").alias("inverter")
+    )
+    table = sources.Staging(spark).table("r", lambda: rows.withColumn("month", month_of(F.col("ts"))), ["month"])
+    window = within(table, "2020-02-01", "2020-03-01")
+    assert window.count() == 29
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
