@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lossledger.operators import attribution, context, ledger, reshape, tickets, trend, twin
 from lossledger.params import Params
+from lossledger.plans import driver_tables
+from lossledger.plans.ledger_run import LedgerRun
+from lossledger.sources import Staging
 
 DEFAULT = Params()
 NOON = datetime(2020, 6, 1, 12)
@@ -235,6 +238,22 @@ def test_error_dilation(spark):
     assert (first["error_code_base"], first["error_description"], first["n_error_rows"]) == (9, "nine", 1)
 
 
+def test_single_code_lookup(spark):
+    catalog = spark.createDataFrame(
+        [(9, "nine", "fault"), (10, "ten", "fault")], "code long, description string, severity_class string"
+    )
+    assert [r["description"] for r in attribution.lookup_code(catalog, 65536 * 4 + 10, DEFAULT).collect()] == ["ten"]
+
+
+def test_month_partitioned_run_gives_the_same_ledger(spark):
+    d = driver_tables.tables(spark, "/root/testdata/sf0.001")
+    other = LedgerRun(d.run.inputs, driver_tables.DAILY, Staging(spark), by_month=True)
+    rounded = [F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in d.run.ledger.dtypes]
+    assert sorted(map(str, other.ledger.select(*rounded).collect())) == sorted(
+        map(str, d.run.ledger.select(*rounded).collect())
+    )
+
+
 def test_duplicate_timestamps_and_null_telemetry(spark):
     rows = [(NOON, 100.0, True), (NOON, 300.0, None), (NOON + timedelta(days=1), None, None)]
     plant = spark.createDataFrame(rows, "ts timestamp_ntz, irradiation_w_m2 double, is_curtailed boolean")
