@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lossledger.llm import op08_stratified
 from lossledger.llm.op02_compression import op2_compression_quality
+from lossledger.llm.op03_pfair import op3_pfair_mix
+from lossledger.llm.op05_qgram import op5_qgram_decontamination
+from lossledger.llm.op08_stratified import op8_stratified_shards
 from lossledger.llm.op10_simhash_anchor import op10_simhash_anchor
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_compression_quality, op10_simhash_anchor)
+    every = (
+        op2_compression_quality,
+        op3_pfair_mix,
+        op5_qgram_decontamination,
+        op8_stratified_shards,
+        op10_simhash_anchor,
+    )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_stratified_shards": op08_stratified.SQL}
