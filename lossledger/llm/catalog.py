@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lossledger.llm import op08_stratified
+from lossledger.llm.op01_isolation import op1_isolation_rules
 from lossledger.llm.op02_compression import op2_compression_quality
 from lossledger.llm.op03_pfair import op3_pfair_mix
 from lossledger.llm.op05_qgram import op5_qgram_decontamination
+from lossledger.llm.op07_blob_ledger import op7_blob_ledger
 from lossledger.llm.op08_stratified import op8_stratified_shards
 from lossledger.llm.op10_simhash_anchor import op10_simhash_anchor
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
+        op1_isolation_rules,
         op2_compression_quality,
         op3_pfair_mix,
         op5_qgram_decontamination,
+        op7_blob_ledger,
         op8_stratified_shards,
         op10_simhash_anchor,
     )
