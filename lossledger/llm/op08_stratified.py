@@ -36,13 +36,13 @@ def shards(docs: DataFrame, count: int = SHARDS, seed: int = SEED) -> DataFrame:
         )
     )
     strata = settled(rows.groupBy("stratum").agg(F.count("*").alias("stratum_rows")))
-    total = strata.agg(F.coalesce(F.sum("stratum_rows"), F.lit(0)).alias("total"))
+    total = strata.agg(F.sum("stratum_rows")).first()[0] or 0
     sized = rows.join(small_side(strata), "stratum").withColumn("bucket", bucket(F.col("h") / float(1 << 60), F.col("stratum_rows")))
     ties = [F.col("h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     within = ranked(sized, ["stratum"], ties, "rank")
     placed = settled(
         within.withColumn("part", (2 * F.col("rank") + 1) / (2.0 * F.col("stratum_rows")))
-        .crossJoin(F.broadcast(total))  # one row
+        .withColumn("total", F.lit(total).cast("long"))
         .withColumn("bucket", bucket(F.col("part"), F.col("total")))
     )
     order = [F.col("part"), F.col("stratum"), *ties]
