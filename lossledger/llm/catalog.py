@@ -11,6 +11,7 @@ from lossledger.llm.op01_isolation import op1_isolation_rules
 from lossledger.llm.op02_compression import op2_compression_quality
 from lossledger.llm.op03_pfair import op3_pfair_mix
 from lossledger.llm.op05_qgram import op5_qgram_decontamination
+from lossledger.llm.op06_template import op6_template_extraction
 from lossledger.llm.op07_blob_ledger import op7_blob_ledger
 from lossledger.llm.op08_stratified import op8_stratified_shards
 from lossledger.llm.op10_simhash_anchor import op10_simhash_anchor
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_compression_quality,
         op3_pfair_mix,
         op5_qgram_decontamination,
+        op6_template_extraction,
         op7_blob_ledger,
         op8_stratified_shards,
         op10_simhash_anchor,
