@@ -14,6 +14,7 @@ from lossledger.llm.op05_qgram import op5_qgram_decontamination
 from lossledger.llm.op06_template import op6_template_extraction
 from lossledger.llm.op07_blob_ledger import op7_blob_ledger
 from lossledger.llm.op08_stratified import op8_stratified_shards
+from lossledger.llm.op09_contextual import op9_contextual_pii
 from lossledger.llm.op10_simhash_anchor import op10_simhash_anchor
 
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_template_extraction,
         op7_blob_ledger,
         op8_stratified_shards,
+        op9_contextual_pii,
         op10_simhash_anchor,
     )
     return {f.__name__: f for f in every}
