@@ -10,6 +10,7 @@ from lossledger.llm import op08_stratified
 from lossledger.llm.op01_isolation import op1_isolation_rules
 from lossledger.llm.op02_compression import op2_compression_quality
 from lossledger.llm.op03_pfair import op3_pfair_mix
+from lossledger.llm.op04_attention import op4_attention_scores
 from lossledger.llm.op05_qgram import op5_qgram_decontamination
 from lossledger.llm.op06_template import op6_template_extraction
 from lossledger.llm.op07_blob_ledger import op7_blob_ledger
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_isolation_rules,
         op2_compression_quality,
         op3_pfair_mix,
+        op4_attention_scores,
         op5_qgram_decontamination,
         op6_template_extraction,
         op7_blob_ledger,

@@ -52,3 +52,12 @@ def seeded_order(doc_id: Column, seed: int) -> Column:
     """A pseudo-random 60-bit number of an id, equal in every engine that has MD5."""
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def hash_bar(rows: int, wanted: int) -> int:
+    """A bar on a 64-bit hash that about three times ``wanted`` of ``rows`` rows stay under.
+
+    Put before a top-k by hash, it keeps what each task sends small however many tasks there are.
+    """
+    share = min(1.0, 3 * (wanted + 50) / max(1, rows))
+    return min(2**63 - 1, int(-(2**63) + share * 2**64))
