@@ -299,6 +299,8 @@ def curtailment_of_year(ledger: DataFrame, year: int) -> DataFrame:
 def worst_months(ledger: DataFrame) -> DataFrame:
     """Per device the (month, cause) with the largest verified loss, and its gap energy.
 
+    A device that has nothing but data gaps keeps its gap energy, with no month.
+
     The worst month is a map-side combined minimum, not a sort of the device's rows.
     """
     rows = ledger.groupBy("inverter", "month", "bucket").agg(
@@ -316,7 +318,6 @@ def worst_months(ledger: DataFrame) -> DataFrame:
             F.coalesce(F.sum(F.when(~verified, F.col("lost_kwh"))), F.lit(0.0)).alias("gap_kwh"),
         )
         .select("inverter", "_worst.*", "gap_kwh")
-        .where(F.col("month").isNotNull())
     )
 
 
@@ -342,6 +343,7 @@ def worst_rows(ledger: DataFrame, inverter: str | None = None, n: int = 10) -> D
     )
 
 
-def ask(spark: SparkSession, sql: str, args: list | None = None, max_rows: int = 200) -> DataFrame:
-    """A parameterised SQL query over the registered views, with a result limit."""
-    return spark.sql(sql, args=args or []).limit(max_rows)
+def ask(spark: SparkSession, sql: str, args: list | None = None, max_rows: int | None = None) -> DataFrame:
+    """A parameterised SQL query over the registered views, limited only where asked for."""
+    out = spark.sql(sql, args=args or [])
+    return out if max_rows is None else out.limit(max_rows)

@@ -16,22 +16,30 @@ from lossledger.functions import (
 from lossledger.sources.wide import ERROR_PATTERN, device_signals
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _stack(wide: DataFrame, devices: dict[str, dict[str, str]], signals: dict[str, str]) -> Column:
+    """One generator expression that turns every device's columns into a row of doubles.
 
-
-def _stack(devices: dict[str, dict[str, str]], signals: list[str], names: list[str]) -> Column:
-    """One generator expression that turns every device's columns into a row."""
-    rows = []
+    Cells are cleaned before they are stacked, so a signal may be text for one device and
+    a number for another.
+    """
+    cells = []
     for device, columns in devices.items():
-        cells = [f"`{columns[s]}`" if s in columns else "NULL" for s in signals]
-        rows.append(", ".join([_quoted(device), *cells]))
-    return F.expr(f"stack({len(rows)}, {', '.join(rows)}) as (inverter, {', '.join(names)})")
+        cells.append(F.lit(device))
+        cells += [_cell(wide, columns.get(s)) for s in signals]
+    return F.stack(F.lit(len(devices)), *cells).alias("inverter", *signals.values())
+
 
+def _cell(wide: DataFrame, column: str | None) -> Column:
+    if column is None:
+        return F.lit(None).cast("double")
+    col = F.col(f"`{column}`")
+    numeric = isinstance(wide.schema[column].dataType, T.NumericType)
+    return col.cast("double") if numeric else clean_number(col)
 
-def _clean_by_type(df: DataFrame, name: str, out: str) -> Column:
-    numeric = isinstance(df.schema[name].dataType, T.NumericType)
-    return (F.col(name).cast("double") if numeric else clean_number(F.col(name))).alias(out)
+
+def _whole(col: Column) -> Column:
+    """A number as a code: rounded, NULL outside the integer range."""
+    return F.round(col).try_cast("bigint")
 
 
 def unpivot_readings(wide: DataFrame, timestamp: str = "timestamp") -> DataFrame:
@@ -40,28 +48,28 @@ def unpivot_readings(wide: DataFrame, timestamp: str = "timestamp") -> DataFrame
     Devices are those with a power column. No shuffle: each input row expands in place.
     """
     devices = {d: s for d, s in device_signals(wide.columns).items() if "P_AC" in s}
-    raw = ["_p", "_i", "_u"]
-    long = wide.select(
+    return wide.select(
         parse_minute(F.col(timestamp)).alias("ts"),
-        _stack(devices, ["P_AC", "I_DC_SUM", "U_DC"], raw),
+        _stack(wide, devices, {"P_AC": "p_ac_kw", "I_DC_SUM": "i_dc_a", "U_DC": "u_dc_v"}),
     )
-    outs = ["p_ac_kw", "i_dc_a", "u_dc_v"]
-    return long.select("ts", "inverter", *[_clean_by_type(long, r, o) for r, o in zip(raw, outs)])
 
 
 def unpivot_errors(wide: DataFrame, timestamp: str = "timestamp") -> DataFrame:
-    """Sparse (ts, inverter, error_code, operational_state): only non-zero codes."""
+    """Sparse (ts, inverter, error_code, operational_state): only non-zero codes.
+
+    Codes are read as numbers: columns with gaps are often saved as "70000.0" or as doubles.
+    """
     devices = device_signals(wide.columns, ERROR_PATTERN)
     return (
         wide.select(
             parse_minute(F.col(timestamp)).alias("ts"),
-            _stack(devices, ["Error", "Operational State"], ["_e", "_s"]),
+            _stack(wide, devices, {"Error": "_e", "Operational State": "_s"}),
         )
         .select(
             "ts",
             "inverter",
-            F.col("_e").try_cast("bigint").alias("error_code"),
-            F.col("_s").try_cast("bigint").alias("operational_state"),
+            _whole(F.col("_e")).alias("error_code"),
+            _whole(F.col("_s")).alias("operational_state"),
         )
         .where(F.col("error_code") != 0)
     )
@@ -194,10 +202,17 @@ def error_catalog(extract: DataFrame) -> DataFrame:
 
 
 def pivot_months(
-    losses: DataFrame, months: list[str], key: str = "inverter", month: str = "month_label"
+    losses: DataFrame, months: list[str] | None = None, key: str = "inverter", month: str = "month_label"
 ) -> DataFrame:
     """One column per month, 0 where a device lost nothing.
 
-    The month list is given, so no extra job looks it up and the width is known.
+    Without a list the months are those of the losses (a calendar-sized look-up). With a
+    list, a loss in any other month fails the query, so that no loss vanishes.
     """
+    if months is None:
+        months = [r[0] for r in losses.select(month).where(F.col(month).isNotNull()).distinct().orderBy(month).collect()]
+    else:
+        known = F.col(month).isin(*months) | F.col(month).isNull()
+        unlisted = F.raise_error(F.concat(F.lit("a loss in a month that is not listed: "), F.col(month)))
+        losses = losses.withColumn(month, F.when(known, F.col(month)).otherwise(unlisted))
     return losses.groupBy(key).pivot(month, months).sum("lost_eur").na.fill(0.0)

@@ -71,9 +71,8 @@ def twin_features(plant: DataFrame, params: Params) -> DataFrame:
 
 
 def physics_bin(params: Params) -> Column:
-    """Bin number of the physics value, limited so that a curve has a fixed maximal length."""
-    raw = F.floor(F.col("physics_base_kw_per_kwp") * params.curve_bins_per_unit).cast("int")
-    return F.least(raw, F.lit(params.curve_max_bin))
+    """Bin number of the physics value."""
+    return F.floor(F.col("physics_base_kw_per_kwp") * params.curve_bins_per_unit).cast("int")
 
 
 def training_rows(
@@ -185,20 +184,11 @@ def device_models(
 ) -> DataFrame:
     """One row per device with all that prediction needs.
 
-    The curve is an array indexed by bin (curve_max_bin + 1 slots). Each band is a
-    line over p50: shifted by the residual quantile, or scaled by the physics band
+    The curve is a map from the bins that the device was fitted on. Each band is a line over p50: shifted by the residual quantile, or scaled by the physics band
     factor for a device without held-out rows.
     """
     points = F.map_from_entries(F.collect_list(F.struct("bin", "p50_per_kwp")))
-    bins = F.sequence(F.lit(0), F.lit(params.curve_max_bin))
-    curves = (
-        curve.groupBy("inverter")
-        .agg(points.alias("_points"))
-        .select(
-            "inverter",
-            F.transform(bins, lambda b: F.try_element_at("_points", b)).alias("curve"),
-        )
-    )
+    curves = curve.where("bin is not null").groupBy("inverter").agg(points.alias("curve"))
     models = (
         inverters.where("kwp > 0")
         .select("inverter", "kwp", "module_type")
@@ -235,12 +225,12 @@ def curve_p50(params: Params, bin_: Column | None = None, fleet: Column | None =
     fleet = F.col("fleet_p50_per_kwp") if fleet is None else fleet
     middle = (bin_ + 0.5) / params.curve_bins_per_unit
     physics = F.least(F.lit(1.0), middle * F.coalesce("eta_system", F.lit(params.default_eta)))
-    specific = F.coalesce(F.get("curve", bin_), fleet, physics)
+    specific = F.coalesce(F.try_element_at("curve", bin_), fleet, physics)
     return F.col("kwp") * F.least(F.lit(1.0), F.greatest(F.lit(0.0), specific))
 
 
 def with_bins(features: DataFrame, fleet_curve: DataFrame, params: Params) -> DataFrame:
-    """Features with their bin and the fleet's value in it (at most curve_max_bin + 1 bins)."""
+    """Features with their bin and the fleet's value in it (one row for each bin in use)."""
     return features.withColumn("bin", physics_bin(params)).join(fleet_curve, "bin", "left")
 
 
@@ -353,7 +343,7 @@ def expected_monthly(moments: DataFrame, models: DataFrame, params: Params) -> D
     """(month, inverter, module_type, expected_daylight_kwh) for every device and month.
 
     Timestamps fold into (month, bin) counts before they meet a device. That calendar
-    is one small value (months x at most curve_max_bin + 1 bins); each device row expands
+    is one small value (months x bins in use); each device row expands
     to its months and sums a month's bins in place, with no shuffle and no
     timestamps x devices grid.
     """
@@ -406,12 +396,13 @@ def accuracy(metrics: DataFrame) -> DataFrame:
 
 
 def fit_gbt(split: DataFrame, params: Params):
-    """Pooled boosted trees on specific power with early stopping; one distributed fit.
+    """Pooled boosted trees on specific power with early stopping.
 
     Rows held out for early stopping are chosen by a hash of their key, so the
-    choice does not depend on partitioning.
+    choice does not depend on partitioning. All rounds are fitted and evaluated on those
+    rows; the model keeps the best rounds before ``gbt_patience`` rounds without a better one.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
@@ -436,9 +427,26 @@ def fit_gbt(split: DataFrame, params: Params):
         minInstancesPerNode=params.gbt_min_instances,
         maxBins=params.gbt_bins,
         seed=params.seed,
-        validationIndicatorCol="is_early_stop",
     )
-    return Pipeline(stages=[assembler, learner]).fit(rows)
+    ready = assembler.transform(rows).select("features", "label", "is_early_stop")
+    model = learner.fit(ready.where("not is_early_stop"))
+    held = ready.where("is_early_stop")
+    if not held.isEmpty():
+        rounds = best_rounds(model.evaluateEachIteration(held, "squared"), params.gbt_patience)
+        if rounds < params.gbt_iterations:  # the same seed grows the same first trees again
+            model = learner.copy({learner.maxIter: rounds}).fit(ready.where("not is_early_stop"))
+    return PipelineModel(stages=[assembler, model])
+
+
+def best_rounds(errors: list[float], patience: int) -> int:
+    """Rounds up to the least error that no later one beats within ``patience`` rounds."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
 def gbt_columns(rows: DataFrame) -> DataFrame:

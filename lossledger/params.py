@@ -66,12 +66,12 @@ class Params:
     holdout_tail_rows: int = 2000
     fit_share: float = 0.8
     curve_bins_per_unit: int = 20
-    curve_max_bin: int = 60
     gbt_iterations: int = 180
     gbt_step: float = 0.08
     gbt_depth: int = 5
     gbt_min_instances: int = 40
     gbt_bins: int = 256
+    gbt_patience: int = 15
     gbt_validation_share: float = 0.12
     seed: int = 42
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -29,17 +30,19 @@ from lossledger.operators import (
     windows,
 )
 from lossledger.plans.driver_tables import DAILY, FIVE_MINUTES, DriverTables, comma, tables
-from lossledger.plans.oracle import ROUNDING_SHIFT
+from lossledger.plans.rounding import half_shift
+from lossledger.sources import append_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
 
+# Months of the test tables; a loss in any other month fails the pivot.
 MONTHS = [f"{year}-{month:02d}" for year in range(1995, 2002) for month in range(1, 13)]
 
 
 def _rounded(df: DataFrame, digits: int) -> DataFrame:
     """Doubles rounded for comparison with another engine, exact halves shifted away."""
-    shift = float(ROUNDING_SHIFT)
+    shift = half_shift(digits)
     return df.select(
         *[
             F.round(F.col(f"`{f.name}`") + shift, digits).alias(f.name)
@@ -384,7 +387,7 @@ def _(d: DriverTables) -> DataFrame:
     models = groups.withColumns(
         {
             "eta_system": unknown,
-            "curve": F.lit(None).cast("array<double>"),
+            "curve": F.lit(None).cast("map<int,double>"),
             "residual_q10_kw": unknown,
             "residual_q90_kw": unknown,
         }
@@ -399,7 +402,16 @@ def _(d: DriverTables) -> DataFrame:
 @query("q_twin_gbt")
 def _(d: DriverTables) -> DataFrame:
     model = twin.fit_gbt(d.run.split, DAILY)
-    return twin.validation_metrics(twin.gbt_holdout(d.run.split, model, DAILY), d.run.split)
+    metrics = twin.validation_metrics(twin.gbt_holdout(d.run.split, model, DAILY), d.run.split)
+    return metrics.select(
+        "inverter",
+        "n_rows_clean",
+        "n_train",
+        "n_valid",
+        (F.col("residual_q10_kw") <= F.col("residual_q90_kw")).alias("bands_in_order"),
+        F.col("band_coverage").between(0.0, 1.0).alias("coverage_is_share"),
+        F.lit(1 <= model.stages[-1].getNumTrees <= DAILY.gbt_iterations).alias("rounds_within_limit"),
+    )
 
 
 @query("q_twin_eval", digits=3)
@@ -477,6 +489,58 @@ def _(d: DriverTables) -> DataFrame:
     return d.run.build_ledger()
 
 
+# ingest and publish ------------------------------------------------------------
+@query("q_ingest_counts", digits=2)
+def _(d: DriverTables) -> DataFrame:
+    parts = d.ingested
+    sums = {
+        "plant": (parts.plant, "evu_pct"),
+        "readings": (parts.readings, "p_ac_kw"),
+        "error_events": (parts.error_events, "error_code"),
+        "inverters": (parts.inverters, "kwp"),
+        "tariffs_monthly": (parts.tariffs_monthly, "ct_per_kwh"),
+        "error_catalog": (parts.error_catalog, "code"),
+    }
+    out = parts.tickets.agg(F.lit("tickets").alias("table_name"), F.count("*").alias("n_rows"), F.lit(0.0).alias("total"))
+    for name, (table, value) in sums.items():
+        out = out.unionByName(
+            table.agg(
+                F.lit(name).alias("table_name"),
+                F.count("*").alias("n_rows"),
+                F.sum(F.col(value).cast("double")).alias("total"),
+            )
+        )
+    return out
+
+
+@query("q_export_ledger")
+def _(d: DriverTables) -> DataFrame:
+    table = d.published["loss_ledger"]
+    folder = f"{d.staging.root}/published/csv/loss_ledger"
+    return d.spark.read.schema(table.schema).option("header", True).csv(folder)
+
+
+@query("q_view_year_cause", digits=2)
+def _(d: DriverTables) -> DataFrame:
+    assert "loss_by_year_cause" in d.published
+    return d.spark.table("loss_by_year_cause")
+
+
+@query("q_ask", digits=2)
+def _(d: DriverTables) -> DataFrame:
+    assert "loss_ledger" in d.published
+    sql = "select bucket, sum(lost_eur) as lost_eur, count(*) as n_rows from loss_ledger where year = ? group by bucket"
+    return marts.ask(d.spark, sql, [1998])
+
+
+@query("q_append_table")
+def _(d: DriverTables) -> DataFrame:
+    path = f"{d.staging.root}/appended-{uuid.uuid4().hex}"
+    for sheet in ("modern", "old"):
+        append_table(d.tickets.where(F.col("source_sheet") == sheet), path)
+    return d.spark.read.parquet(path)
+
+
 @query("q_by_year_cause", digits=2)
 def _(d: DriverTables) -> DataFrame:
     return ledger.by_year_cause(d.run.ledger)

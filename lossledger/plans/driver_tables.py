@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lossledger.operators import context, dims, reshape
 from lossledger.params import Params
+from lossledger.plans.ingest import ingest
 from lossledger.plans.ledger_run import Inputs, LedgerRun
+from lossledger.plans.publish import publish
 from lossledger.sources import Staging
 
 # One reading per device and day; 1995 is the reference year of the test tables.
@@ -27,9 +29,7 @@ DAILY = Params(
     min_valid_rows=10,
     min_holdout_rows=5,
     holdout_tail_rows=30,
-    gbt_iterations=10,
     gbt_min_instances=10,
-    gbt_bins=32,
     health_min_points=3,
     trend_from="1996-01-01",
     persistence_reach_minutes=6 * 1440,
@@ -315,13 +315,17 @@ class DriverTables:
 
     @cached_property
     def wide_main(self) -> DataFrame:
-        """One row per day; device group 9 has no voltage column."""
+        """One row per day; device group 9 has no voltage column.
+
+        Power is a double for group 1, text with a point for group 2, with a comma for the rest.
+        """
         aggs = []
         for g in DEVICE_GROUPS:
             mine = F.col("g") == g
             name = f"INV 01.{g:02d}.000"
             quantity = F.sum(F.when(mine, F.col("l_quantity")).cast("bigint"))
-            aggs.append(comma(quantity / 4.0).alias(f"{name} / P_AC (kW)"))
+            power = {1: quantity / 4.0, 2: (quantity / 4.0).cast("string")}.get(g, comma(quantity / 4.0))
+            aggs.append(power.alias(f"{name} / P_AC (kW)"))
             aggs.append(
                 F.max(F.when(mine, F.col("l_quantity")) / 2.0).alias(f"{name} / I_DC_SUM (A)")
             )
@@ -332,7 +336,7 @@ class DriverTables:
 
     @cached_property
     def wide_errors(self) -> DataFrame:
-        """Error code as text: '0', a number, or unreadable."""
+        """Error code as text ('0', a number, or unreadable), as "70000.0" (group 1) or double (2)."""
         parts = self.read("part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
         rows = self._grouped_lines.join(parts, "l_partkey")
         failed = (F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.08)
@@ -343,6 +347,8 @@ class DriverTables:
             name = f"INV 01.{g:02d}.000"
             worst = F.max(F.when(mine & failed, code))
             text = F.when(worst % 50 == 7, "n/a").otherwise(F.coalesce(worst, F.lit(0)).cast("string"))
+            number = F.when(worst % 50 != 7, worst).otherwise(0)
+            text = {1: F.concat(F.coalesce(number, F.lit(0)).cast("string"), F.lit(".0")), 2: number.cast("double")}.get(g, text)
             aggs.append(text.alias(f"{name} / Error"))
             aggs.append(
                 F.max(F.when(mine, F.col("l_linenumber"))).cast("string").alias(f"{name} / Operational State")
@@ -414,7 +420,30 @@ class DriverTables:
         )
         return context.error_intervals(errors)
 
+    # files to inputs -------------------------------------------------------------
+    @cached_property
+    def ingested(self) -> Inputs:
+        """All inputs from wide tables and sheet extracts; plant signals are rows of their own."""
+        return ingest(
+            self.wide_main.unionByName(self.plant_wide.drop("o_orderkey"), allowMissingColumns=True),
+            self.wide_errors,
+            self.overview_extract,
+            self.tariff_matrix,
+            self.tickets_modern,
+            self.tickets_old,
+            self.catalog_extract,
+            DAILY,
+        )
+
+    @cached_property
+    def published(self) -> dict[str, DataFrame]:
+        return publish(self.run, f"{self.staging.root}/published")
+
     # the run -------------------------------------------------------------------
+    @cached_property
+    def staging(self) -> Staging:
+        return Staging(self.spark)
+
     @cached_property
     def run(self) -> LedgerRun:
         inputs = Inputs(
@@ -426,8 +455,7 @@ class DriverTables:
             tickets=self.tickets,
             error_catalog=self.error_catalog,
         )
-        # A month holds few rows here; one file each would only slow the scans.
-        return LedgerRun(inputs, DAILY, Staging(self.spark), by_month=False)
+        return LedgerRun(inputs, DAILY, self.staging)
 
 
 _open: dict[tuple[str, str, str], DriverTables] = {}
@@ -447,5 +475,7 @@ def tables(spark: SparkSession, sf_dir: str) -> DriverTables:
     ).first()
     key = (spark.sparkContext.applicationId, sf_dir, str(tuple(state)))
     if key not in _open:
+        for old in [k for k in _open if k[:2] == key[:2]]:  # tables of files that have changed
+            _open.pop(old).staging.clear()
         _open[key] = DriverTables(spark, sf_dir)
     return _open[key]

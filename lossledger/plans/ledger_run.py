@@ -33,17 +33,14 @@ class Inputs:
 
 
 class LedgerRun:
-    """``by_month`` partitions the long tables, so that time windows read only their months."""
+    """Long tables are partitioned by month, so that time windows read only their months."""
 
-    def __init__(self, inputs: Inputs, params: Params, staging: Staging, by_month: bool = True):
+    def __init__(self, inputs: Inputs, params: Params, staging: Staging):
         self.inputs = inputs
         self.params = params
         self.staging = staging
-        self.by_month = by_month
 
     def _long_table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if not self.by_month:
-            return self.staging.table(name, build)
         month = month_of(F.col("ts"))
         return self.staging.table(name, lambda: build().withColumn("month", month), ["month"])
 

@@ -24,7 +24,7 @@ def _writer(df: DataFrame, partition_by: list[str] | None):
     return df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
 
 
-def export_csv(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
+def export_csv(df: DataFrame, path: str, order: list[Column | str] | None = None) -> None:
     """Comma-separated text with a header; range-sorted files when an order is given."""
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).csv(path)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,15 +11,9 @@ from lossledger.sources.sinks import write_table
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a scratch folder only in local mode."""
+    """The shared folder of the session: ``spark.checkpoint.dir``, else one beside the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    scratch = tempfile.mkdtemp(prefix="lossledger-")
-    spark.sparkContext.setCheckpointDir(scratch)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging").rstrip("/")
 
 
 class Staging:
@@ -29,9 +22,10 @@ class Staging:
     A written table survives lost executors, unlike cached blocks on their disks.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        """``root``: a folder that all executors share; by default the session's."""
         self.spark = spark
-        self.root = f"{checkpoint_root(spark)}/stage-{uuid.uuid4().hex}"
+        self.root = f"{(root or checkpoint_root(spark)).rstrip('/')}/stage-{uuid.uuid4().hex}"
         self._tables: dict[str, DataFrame] = {}
 
     def table(
@@ -41,3 +35,9 @@ class Staging:
             path = f"{self.root}/{name}"
             self._tables[name] = write_table(build(), path, partition_by)
         return self._tables[name]
+
+    def clear(self) -> None:
+        """Deletes this object's tables (its own folder, nothing else)."""
+        self._tables.clear()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

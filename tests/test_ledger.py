@@ -247,7 +247,7 @@ def test_single_code_lookup(spark):
 
 def test_month_partitioned_run_gives_the_same_ledger(spark):
     d = driver_tables.tables(spark, "/root/testdata/sf0.001")
-    other = LedgerRun(d.run.inputs, driver_tables.DAILY, Staging(spark), by_month=True)
+    other = LedgerRun(d.run.inputs, driver_tables.DAILY, Staging(spark))
     rounded = [F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in d.run.ledger.dtypes]
     assert sorted(map(str, other.ledger.select(*rounded).collect())) == sorted(
         map(str, d.run.ledger.select(*rounded).collect())
