@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import remainder, table
+from lossledger.llm.common import hash_bar, remainder, table
 
 
 @dataclasses.dataclass(frozen=True)
@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     prior = counts.get(1, 0) / total if total else 1.0
     ids = None
     for value in (0, 1):  # twice as many ids as rows wanted: some are too long or not in docs
-        some = marked.where(F.col("quality") == value).orderBy(F.xxhash64("marked_id"), "marked_id").limit(2 * settings.sample_rows)
+        bar = hash_bar(counts.get(value, 0), 2 * settings.sample_rows)
+        some = marked.where((F.col("quality") == value) & (F.xxhash64("marked_id") <= bar)).orderBy(F.xxhash64("marked_id"), "marked_id").limit(2 * settings.sample_rows)
         ids = some if ids is None else ids.unionByName(some)
     found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("marked_id"))
     found = found.where(F.octet_length("text") <= settings.sample_bytes)
