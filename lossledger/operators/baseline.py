@@ -69,13 +69,17 @@ def physics_predictions(
     eta: DataFrame,
     fleet: DataFrame,
     params: Params,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """p50/p10/p90 of the physics model within [0, capacity], and the peer ratio.
 
+    ``carry``: plant columns to keep beside them.
+
     Weather and fleet profile meet first (both one row per timestamp), device
     facts and efficiency likewise, so the readings are joined twice only.
     """
-    weather = plant.select("ts", "irradiation_w_m2", "module_temp_c", "ambient_temp_c").join(
+    signals = dict.fromkeys(["irradiation_w_m2", "module_temp_c", "ambient_temp_c", *carry])
+    weather = plant.select("ts", *signals).join(
         fleet.select("ts", "fleet_median_kw_per_kwp"), "ts", "left"
     )
     device = inverters.select("inverter", "kwp").join(
@@ -96,6 +100,7 @@ def physics_predictions(
             "eta_system",
             peer_ratio(F.col("p_ac_kw")).alias("peer_ratio"),
             "p_ac_kw",
+            *carry,
         )
     )
 
@@ -124,11 +129,11 @@ def performance_ratio_monthly(
     )
 
 
-def physics_monthly(predictions: DataFrame, plant: DataFrame, params: Params) -> DataFrame:
+def physics_monthly(predictions: DataFrame, params: Params) -> DataFrame:
     """Monthly actual, expected and positive shortfall, with daylight peer ratios.
 
-    ``predictions`` carries the reading itself, so the two long tables are not
-    joined again on (ts, inverter).
+    ``predictions`` carries the reading, ``is_day`` and ``irradiation_w_m2``, so no long
+    table is joined again.
     """
     expected = F.col("p50_physics_kw")
     shortfall = expected - F.coalesce("p_ac_kw", F.lit(0.0))
@@ -136,8 +141,7 @@ def physics_monthly(predictions: DataFrame, plant: DataFrame, params: Params) ->
     bright = F.col("is_day") & (F.col("irradiation_w_m2") > params.train_min_irradiation)
     peers = F.when(bright, F.col("peer_ratio"))
     return (
-        predictions.join(plant.select("ts", "is_day", "irradiation_w_m2"), "ts")
-        .groupBy(month_of(F.col("ts")).alias("month"), "inverter")
+        predictions.groupBy(month_of(F.col("ts")).alias("month"), "inverter")
         .agg(
             F.sum(energy_kwh(F.col("p_ac_kw"), step)).alias("actual_energy_kwh"),
             F.sum(energy_kwh(expected, step)).alias("physics_expected_kwh"),

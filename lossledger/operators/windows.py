@@ -11,33 +11,53 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lossledger.functions import epoch_seconds
 
 
-def _day_edges(df: DataFrame, ts: str) -> DataFrame:
-    """First and last row of each day, next to the edge rows of the days around it.
+#: A day is cut into pieces of this length, so a busy day spreads over up to 144 tasks.
+PIECE_SECONDS = 600
 
-    One row per calendar day of the history; the unpartitioned window below
-    therefore sorts a few thousand rows.
+
+def _edges(df: DataFrame, ts: str) -> DataFrame:
+    """Of each piece, the last row before it and the first row after it.
+
+    Pieces are put in order within their day (at most 144 rows a window). Across days the
+    first and last rows of the days are (one row per calendar day of the history, so the
+    unpartitioned window sorts a few thousand rows).
     """
     row = F.struct(*df.columns)
-    days = df.groupBy(F.col(ts).cast("date").alias("_day")).agg(
+    pieces = df.groupBy(F.col(ts).cast("date").alias("_day"), _piece(ts)).agg(
         F.min_by(row, F.col(ts)).alias("_first"), F.max_by(row, F.col(ts)).alias("_last")
     )
-    in_order = Window.orderBy("_day")
-    return days.select(
-        "_day",
-        F.lag("_last").over(in_order).alias("_before"),
-        F.lead("_first").over(in_order).alias("_after"),
+    days = pieces.groupBy(F.col("_day").alias("_of_day")).agg(
+        F.min_by("_first", "_piece").alias("_first"), F.max_by("_last", "_piece").alias("_last")
+    )
+    by_day = Window.orderBy("_of_day")
+    around = days.select(
+        "_of_day", F.lag("_last").over(by_day).alias("_day_before"), F.lead("_first").over(by_day).alias("_day_after")
+    )
+    in_day = Window.partitionBy("_day").orderBy("_piece")
+    return (
+        pieces.withColumns({"_before": F.lag("_last").over(in_day), "_after": F.lead("_first").over(in_day)})
+        .join(around, F.col("_day").eqNullSafe(F.col("_of_day")))
+        .select(
+            "_piece",
+            F.coalesce("_before", "_day_before").alias("_before"),
+            F.coalesce("_after", "_day_after").alias("_after"),
+        )
     )
 
 
-def _with_day_halo(df: DataFrame, ts: str, sides: tuple[str, ...]) -> DataFrame:
-    """Rows tagged with their day and ``_own``; halo rows come from the neighbour days."""
-    own = df.withColumns({"_day": F.col(ts).cast("date"), "_own": F.lit(True)})
-    edges = _day_edges(df, ts)
+def _piece(ts: str) -> Column:
+    return F.floor(epoch_seconds(F.col(ts)) / PIECE_SECONDS).alias("_piece")
+
+
+def _with_halo(df: DataFrame, ts: str, sides: tuple[str, ...]) -> DataFrame:
+    """Rows tagged with their piece and ``_own``; halo rows come from the neighbour pieces."""
+    own = df.withColumns({"_piece": _piece(ts), "_own": F.lit(True)})
+    edges = _edges(df, ts)
     halo = None
     for side in sides:
         part = edges.where(F.col(side).isNotNull()).select(
             *[F.col(f"{side}.`{c}`").alias(c) for c in df.columns],
-            "_day",
+            "_piece",
             F.lit(False).alias("_own"),
         )
         halo = part if halo is None else halo.unionByName(part)
@@ -50,9 +70,9 @@ def rolling_neighbours(df: DataFrame, ts: str, value: str) -> DataFrame:
     ``df`` has unique timestamps. Equal to an unpartitioned
     ``ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING`` window, whatever gaps exist.
     """
-    frame = Window.partitionBy("_day").orderBy(ts).rowsBetween(-1, 1)
+    frame = Window.partitionBy("_piece").orderBy(ts).rowsBetween(-1, 1)
     return (
-        _with_day_halo(df, ts, ("_before", "_after"))
+        _with_halo(df, ts, ("_before", "_after"))
         .withColumns(
             {
                 f"{value}_roll_mean": F.avg(value).over(frame),
@@ -60,18 +80,18 @@ def rolling_neighbours(df: DataFrame, ts: str, value: str) -> DataFrame:
             }
         )
         .where("_own")
-        .drop("_day", "_own")
+        .drop("_piece", "_own")
     )
 
 
 def previous_in_series(df: DataFrame, ts: str, keep: list[str]) -> DataFrame:
     """Each row with the timestamp before it as ``prev_ts`` (NULL for the first row)."""
-    frame = Window.partitionBy("_day").orderBy(ts)
+    frame = Window.partitionBy("_piece").orderBy(ts)
     return (
-        _with_day_halo(df.select(ts, *keep), ts, ("_before",))
+        _with_halo(df.select(ts, *keep), ts, ("_before",))
         .withColumn("prev_ts", F.lag(ts).over(frame))
         .where("_own")
-        .drop("_day", "_own")
+        .drop("_piece", "_own")
     )
 
 

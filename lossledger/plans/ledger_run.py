@@ -108,7 +108,16 @@ class LedgerRun:
         )
 
     def build_physics_monthly(self) -> DataFrame:
-        return baseline.physics_monthly(self.physics, self.plant, self.params)
+        predictions = baseline.physics_predictions(
+            self.readings,
+            self.inverters,
+            self.plant,
+            self.eta,
+            self.fleet,
+            self.params,
+            carry=("is_day", "irradiation_w_m2"),
+        )
+        return baseline.physics_monthly(predictions, self.params)
 
     @cached_property
     def physics_monthly(self) -> DataFrame:

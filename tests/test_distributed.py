@@ -5,8 +5,9 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from lossledger.operators import windows
 from lossledger.operators.quantiles import exact_quantiles
 from lossledger.operators.windows import count_within_reach, rolling_neighbours
 
@@ -63,3 +64,16 @@ def test_count_within_reach_across_pieces(spark):
     for device, ts, _ in rows:
         expected = sum(f for d, t, f in rows if d == device and abs((t - ts).total_seconds()) <= 1800)
         assert got[(device, ts)] == expected
+
+
+def test_a_busy_day_is_cut_into_pieces(spark):
+    rows = spark.range(3000).select(
+        F.expr("timestamp_ntz'2020-01-02 00:00:00' + id * interval 7 second").alias("ts"), ((F.col("id") * 37) % 101).cast("double").alias("v")
+    )
+    rows = rows.unionByName(rows.limit(1).select(F.expr("timestamp_ntz'2019-12-30 10:00:00'").alias("ts"), F.lit(5.0).alias("v")))
+    assert rows.select(windows._piece("ts")).distinct().count() > 30
+    whole = Window.orderBy("ts").rowsBetween(-1, 1)
+    expected = {r["ts"]: (r["m"], r["p"]) for r in rows.select("ts", F.avg("v").over(whole).alias("m"), F.lag("ts").over(Window.orderBy("ts")).alias("p")).collect()}
+    got = {r["ts"]: r["v_roll_mean"] for r in windows.rolling_neighbours(rows, "ts", "v").collect()}
+    before = {r["ts"]: r["prev_ts"] for r in windows.previous_in_series(rows, "ts", []).collect()}
+    assert got == {k: v[0] for k, v in expected.items()} and before == {k: v[1] for k, v in expected.items()}
