@@ -152,32 +152,34 @@ def lead_summary(lead: DataFrame) -> DataFrame:
 
 
 def loss_until_ticket(intervals: DataFrame, lead: DataFrame) -> DataFrame:
-    """Daily and running loss of the largest lead event until its ticket came.
+    """Daily and running loss of the largest lead event until its ticket came."""
+    case = lead.where("ticket_lag_days > 0").orderBy(*_by_loss()).limit(1)
+    return losses_until_tickets(intervals, case).drop("lead_event_id")
 
-    One event is broadcast (a limit of one row); the running sum covers at most
-    one lead time of days.
+
+def losses_until_tickets(intervals: DataFrame, lead: DataFrame) -> DataFrame:
+    """Daily and running loss of each lead event until its ticket came.
+
+    The lead list is broadcast (it is limited to the top events); a running sum covers at
+    most one lead time of days.
     """
-    case = (
-        lead.where("ticket_lag_days > 0")
-        .orderBy(*_by_loss())
-        .limit(1)
-        .select(
-            F.col("inverter").alias("_device"),
-            F.col("bucket").alias("_cause"),
-            F.col("first_ts").alias("_from"),
-            F.col("ticket_start_ts").alias("_to"),
-        )
+    cases = lead.select(
+        "lead_event_id",
+        F.col("inverter").alias("_device"),
+        F.col("bucket").alias("_cause"),
+        F.col("first_ts").alias("_from"),
+        F.col("ticket_start_ts").alias("_to"),
     )
     in_order = (
-        Window.partitionBy("inverter", "bucket")
+        Window.partitionBy("lead_event_id")
         .orderBy("d")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     same = (F.col("inverter") == F.col("_device")) & (F.col("bucket") == F.col("_cause"))
     return (
-        intervals.join(F.broadcast(case), same)
+        intervals.join(F.broadcast(cases), same)
         .where((F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_to")))
-        .groupBy("inverter", "bucket", F.col("ts").cast("date").alias("d"))
+        .groupBy("lead_event_id", "inverter", "bucket", F.col("ts").cast("date").alias("d"))
         .agg(F.sum("lost_eur").alias("lost_eur"))
         .withColumn("cumulative_lost_eur", F.sum("lost_eur").over(in_order))
     )

@@ -608,6 +608,11 @@ def _(d: DriverTables) -> DataFrame:
     return tickets.loss_until_ticket(d.run.intervals, d.run.lead_events)
 
 
+@query("q_cumulative_losses")
+def _(d: DriverTables) -> DataFrame:
+    return tickets.losses_until_tickets(d.run.intervals, d.run.lead_events)
+
+
 # marts -------------------------------------------------------------------------
 @query("q_plant_facts")
 def _(d: DriverTables) -> DataFrame:
@@ -661,6 +666,13 @@ def _(d: DriverTables) -> DataFrame:
     return marts.inverter_tickets(d.run.tickets, busy, "1995-06-01", "2001-06-01")
 
 
+@query("q_busiest_tickets")
+def _(d: DriverTables) -> DataFrame:
+    counts = d.run.tickets.where("inverter is not null").groupBy("inverter").agg(F.count("*").alias("n"))
+    busy = counts.agg(F.min_by("inverter", F.struct(-F.col("n"), F.col("inverter")))).scalar()
+    return marts.inverter_tickets(d.run.tickets, busy)
+
+
 @query("q_ledger_filtered")
 def _(d: DriverTables) -> DataFrame:
     return marts.ledger_filtered(d.run.ledger, [1998, 1999], ["FAULT", "OUTAGE", "DEGRADATION"])
