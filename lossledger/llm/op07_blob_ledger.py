@@ -156,3 +156,35 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(paths, ledger).select(
         "doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans")
     )
+
+
+def _sql() -> str:
+    """The same rows from split and extract; patterns spell out either case, as engines fold differently."""
+    kinds = []
+    for order, rule in enumerate(r for rules in RULE_SETS for r in rules.rules):
+        pattern = rule.pattern.replace("'", "''")
+        if rule.either_case:
+            names, rest = pattern[1:].split(")", 1)
+            cased = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in names)
+            pattern = f"({cased}){rest}"
+        least = f"length(regexp_extract(h, '{pattern}', {rule.group})) >= {rule.least}" if rule.least else "true"
+        kinds.append(
+            f"SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, i, p, h, {least} AS fine FROM (SELECT doc_id, "
+            f"string_split_regex(x, '{pattern}') AS pieces, regexp_extract_all(x, '{pattern}') AS hits, "
+            "unnest(range(1, len(hits) + 1)) AS i, hits[i] AS h, "
+            "list_sum(list_transform(pieces[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda s: length(s))), 0) AS p FROM d)"
+        )
+    union = "\nUNION ALL ".join(kinds)
+    base = len(BASE.rules)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE.rules)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+s AS (SELECT doc_id, o, kind, CAST(p AS BIGINT) AS p, kind || ':' || CAST(p AS BIGINT) || ':' || CAST(p + length(h) AS BIGINT) AS span FROM ({union}) WHERE fine),
+g AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY p, o) AS spans, string_agg(span, ',' ORDER BY p, o) FILTER (WHERE o < {base}) AS base FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE.rules)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+SQL = _sql()

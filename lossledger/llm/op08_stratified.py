@@ -81,8 +81,8 @@ d AS (
     ('0x' || md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:15])::BIGINT AS h FROM documents),
 r AS (
   SELECT doc_id, stratum, h, length(x) // 2 + 1 AS size,
-    xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2),
-      lambda k: ('0x' || x[2 * k + 1 : 2 * k + 2])::BIGINT)),
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(x, '..'),
+      lambda k: ('0x' || k)::BIGINT)),
       lambda a, b: xor(a >> 8, t[CAST(xor(a & 255, b) AS INTEGER) + 1])), 4294967295) AS text_crc32
   FROM d, crc),
 f AS (

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 
 from lossledger.llm import op01_isolation, op02_compression, op04_attention, op05_qgram, op06_template, op07_blob_ledger, op09_contextual
@@ -183,7 +184,12 @@ def secret_spans(text):
 def test_secrets_match_brute_force(spark, tmp_path):
     texts = [noise(i, SECRET_PARTS, 30) for i in range(300)] + ["", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    for r in op07_blob_ledger.op7_blob_ledger(spark, str(tmp_path)).collect():
+    got = op07_blob_ledger.op7_blob_ledger(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    answer = con.sql(op07_blob_ledger.SQL).fetchall()
+    assert sorted(map(tuple, got)) == sorted(answer)
+    for r in got:
         expected = secret_spans(texts[r["doc_id"]] or "")
         assert r["base_sha256"] == hashlib.sha256(expected.encode()).hexdigest()
         assert r["n_assign"] + r["n_access"] + r["n_hex"] == (len(expected.split(",")) if expected else 0)
