@@ -181,3 +181,65 @@ def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(list(KINDS)).cast("binary"), 256).alias("base_sha256"),
         _joined([*KINDS, "context"]).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """The same rows from plain patterns, joins and aggregates, with the rounds written out."""
+    settings = Settings()
+    # as the contract words them; the engine has neither possessive quantifiers nor look-around
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "others": r"[A-Za-z@._%+()-]*[0-9][A-Za-z0-9@._%+()-]*(?:\x20[0-9()-]{2,})*",
+    }
+    digits = "regexp_replace(h, '[^0-9]', '', 'g')"
+    part = "ltrim(s, '0')"
+    fine = {
+        "email": "true",
+        "ip": f"list_bool_and(list_transform(string_split(h, '.'), lambda s: length({part}) < 3 OR (length({part}) = 3 AND {part} <= '255')))",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse({digits}), ''), lambda c, i: "
+        "CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) ELSE CAST(c AS INTEGER) * 2 - CASE WHEN c > '4' THEN 9 ELSE 0 END END)) % 10 = 0",
+        "phone": f"length({digits}) BETWEEN 8 AND 15",
+        "others": f"length(h) >= {settings.least_length}",
+    }
+    found = "\nUNION ALL ".join(
+        f"SELECT rid, x, {o} AS o, '{k}' AS kind, h, CAST(p AS BIGINT) AS p, CAST(p + length(h) AS BIGINT) AS e FROM (SELECT rid, x, "
+        f"string_split_regex(x, '{plain[k]}') AS pieces, regexp_extract_all(x, '{plain[k]}') AS hits, unnest(range(1, len(hits) + 1)) AS i, hits[i] AS h, "
+        "list_sum(list_transform(pieces[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda s: length(s))), 0) AS p FROM d) "
+        f"WHERE {fine[k]}"
+        for o, k in enumerate(plain)
+    )
+    before = BEFORE.replace("'", "''")
+    rounds, last = "", "(SELECT hit, max(CAST(seed AS DOUBLE)) AS score FROM live GROUP BY hit)"
+    for i in range(settings.rounds):
+        rounds += f"""
+c{i} AS (SELECT l.word, least(1.0e0, sum(n * score) / any_value(everywhere)) AS confidence FROM live l JOIN {last} USING (hit) GROUP BY l.word),
+s{i} AS (SELECT hit, CASE WHEN bool_or(seed) THEN 1.0e0 ELSE 1 - exp(sum(ln(greatest(1 - confidence, 1e-9)))) END AS score FROM live JOIN c{i} USING (word) GROUP BY hit),"""
+        last = f"s{i}"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in KINDS)
+    span = "kind || ':' || p || ':' || e"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+f AS MATERIALIZED ({found}),
+m AS MATERIALIZED (
+  SELECT rid, kind, o, p, e, h AS hit, o < {len(KINDS)} AS seed,
+    lower(regexp_extract(substring(x, greatest(p - {settings.reach}, 0) + 1, p - greatest(p - {settings.reach}, 0)), '{before}', 1)) AS word
+  FROM f WHERE o < {len(KINDS)} OR NOT EXISTS (SELECT 1 FROM f b WHERE b.rid = f.rid AND b.o < {len(KINDS)} AND b.p < f.e AND f.p < b.e)),
+edges AS (SELECT word, hit, count(*) AS n, bool_or(seed) AS seed FROM m WHERE word <> '' GROUP BY word, hit),
+patterns AS (SELECT word FROM edges GROUP BY word HAVING count(*) FILTER (WHERE seed) >= {settings.seeds}),
+total AS (SELECT word, count(*) AS everywhere FROM (SELECT unnest(string_split_regex(lower(x), '{WORDS}')) AS word FROM d) SEMI JOIN patterns USING (word) GROUP BY word),
+live AS MATERIALIZED (SELECT * FROM edges JOIN total USING (word)),{rounds}
+spans AS (
+  SELECT rid, kind, o, p, e FROM m WHERE seed
+  UNION ALL SELECT DISTINCT rid, 'context', o, p, e FROM m WHERE NOT seed
+    AND word IN (SELECT word FROM c{settings.rounds - 1} WHERE confidence >= {settings.confidence})),
+g AS (SELECT rid, {counts}, string_agg({span}, ',' ORDER BY o, p, e) AS spans,
+  string_agg({span}, ',' ORDER BY o, p) FILTER (WHERE o < {len(KINDS)}) AS base FROM spans GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
+SQL = _sql()

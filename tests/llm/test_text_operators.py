@@ -235,10 +235,16 @@ def test_personal_data_matches_brute_force(spark):
         assert r["spans"] == pii_spans(texts[r["doc_id"]] or ""), texts[r["doc_id"]]
 
 
-def test_contextual_patterns_discover_unseen_identifiers(spark, prose):
+def test_contextual_patterns_discover_unseen_identifiers(spark, prose, tmp_path):
     rows = [(i, f"{prose(20, i)} telephone: +1 (212) 555-01{i:02d} {prose(20, 99 + i)}") for i in range(20)]
     rows += [(100, f"{prose(9, 1)} telephone: 0170-445566 and ref 77-1234567"), (101, f"{prose(9, 2)} the 99887766")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: [s["hit"] for s in r["context"] or []] for r in op09_contextual.personal_data(docs).collect()}
     assert got[100] == ["0170-445566"] and got[101] == []
     assert all(not v for k, v in got.items() if k < 100)
+    noisy = [(1000 + i, noise(i, [*PII_PARTS, "telephone: ", "id ", "X-12345 "], 30)) for i in range(200)]
+    spark.createDataFrame(rows + noisy, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    mine = sorted(map(tuple, op09_contextual.op9_contextual_pii(spark, str(tmp_path)).collect()))
+    assert mine == sorted(con.sql(op09_contextual.SQL).fetchall())
