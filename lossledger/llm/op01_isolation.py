@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import row_key, settled, table
+from lossledger.llm.common import hash_bar, row_key, settled, table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rates that the forest splits on.
@@ -40,6 +40,8 @@ class Settings:
     repeat_percent: int = 50
     trees: int = 100
     tree_rows: int = 256
+    #: Rows that the trees draw theirs from.
+    sample_rows: int = 8192
     good_cost: float = 6.0
     bins: int = 2000
     seed: int = 1
@@ -171,8 +173,7 @@ def judged(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     )
     usual = rows.where(~F.col("base_failed"))
     known = settled(usual.join(marks, F.col("key") == F.col("marked")).select("key", "quality", *RATES))
-    size = settings.trees * settings.tree_rows
-    sample = _sample(usual, size)
+    sample = _sample(usual, settings.sample_rows)
     forest = grow(sample, settings) if len(sample) else None
     bar = _threshold(_scored(known, forest, ["quality"]), settings) if forest else 2.0
     out = _scored(rows, forest, ["doc_id", *COUNTS, "base_failed"])
@@ -183,7 +184,8 @@ def judged(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
 
 def _sample(rows: DataFrame, size: int) -> np.ndarray:
     """Rates of at most ``size`` rows, picked by hash."""
-    picked = rows.orderBy(F.xxhash64("key"), "key").limit(size).select(*RATES).toPandas()
+    few = rows.where(F.xxhash64("key") <= hash_bar(rows.count(), size))
+    picked = few.orderBy(F.xxhash64("key"), "key").limit(size).select(*RATES).toPandas()
     return picked.to_numpy(float)
 
 
