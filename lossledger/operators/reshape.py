@@ -16,17 +16,22 @@ from lossledger.functions import (
 from lossledger.sources.wide import ERROR_PATTERN, device_signals
 
 
-def _stack(wide: DataFrame, devices: dict[str, dict[str, str]], signals: dict[str, str]) -> Column:
-    """One generator expression that turns every device's columns into a row of doubles.
+def _long(
+    wide: DataFrame, timestamp: str, devices: dict[str, dict[str, str]], signals: dict[str, str]
+) -> DataFrame:
+    """(ts, inverter, a double for each signal): every device's columns as a row.
 
-    Cells are cleaned before they are stacked, so a signal may be text for one device and
-    a number for another.
+    Cells are cleaned in a projection of their own before one generator stacks them, so a
+    signal may be text for one device and a number for another.
     """
-    cells = []
+    cells, places = [], []
     for device, columns in devices.items():
-        cells.append(F.lit(device))
-        cells += [_cell(wide, columns.get(s)) for s in signals]
-    return F.stack(F.lit(len(devices)), *cells).alias("inverter", *signals.values())
+        places.append(F.lit(device))
+        for signal in signals:
+            cells.append(_cell(wide, columns.get(signal)).alias(f"_{len(cells)}"))
+            places.append(F.col(f"_{len(cells) - 1}"))
+    rows = F.stack(F.lit(len(devices)), *places).alias("inverter", *signals.values())
+    return wide.select(parse_minute(F.col(timestamp)).alias("ts"), *cells).select("ts", rows)
 
 
 def _cell(wide: DataFrame, column: str | None) -> Column:
@@ -48,10 +53,7 @@ def unpivot_readings(wide: DataFrame, timestamp: str = "timestamp") -> DataFrame
     Devices are those with a power column. No shuffle: each input row expands in place.
     """
     devices = {d: s for d, s in device_signals(wide.columns).items() if "P_AC" in s}
-    return wide.select(
-        parse_minute(F.col(timestamp)).alias("ts"),
-        _stack(wide, devices, {"P_AC": "p_ac_kw", "I_DC_SUM": "i_dc_a", "U_DC": "u_dc_v"}),
-    )
+    return _long(wide, timestamp, devices, {"P_AC": "p_ac_kw", "I_DC_SUM": "i_dc_a", "U_DC": "u_dc_v"})
 
 
 def unpivot_errors(wide: DataFrame, timestamp: str = "timestamp") -> DataFrame:
@@ -61,10 +63,7 @@ def unpivot_errors(wide: DataFrame, timestamp: str = "timestamp") -> DataFrame:
     """
     devices = device_signals(wide.columns, ERROR_PATTERN)
     return (
-        wide.select(
-            parse_minute(F.col(timestamp)).alias("ts"),
-            _stack(wide, devices, {"Error": "_e", "Operational State": "_s"}),
-        )
+        _long(wide, timestamp, devices, {"Error": "_e", "Operational State": "_s"})
         .select(
             "ts",
             "inverter",
