@@ -184,11 +184,21 @@ def device_models(
 ) -> DataFrame:
     """One row per device with all that prediction needs.
 
-    The curve is a map from the bins that the device was fitted on. Each band is a line over p50: shifted by the residual quantile, or scaled by the physics band
+    The curve is an array indexed by bin, as long as the device's largest fitted bin needs.
+    Each band is a line over p50: shifted by the residual quantile, or scaled by the physics band
     factor for a device without held-out rows.
     """
     points = F.map_from_entries(F.collect_list(F.struct("bin", "p50_per_kwp")))
-    curves = curve.where("bin is not null").groupBy("inverter").agg(points.alias("curve"))
+    bins = F.sequence(F.lit(0), F.greatest(F.lit(0), F.array_max(F.map_keys("_points"))))
+    curves = (
+        curve.where("bin is not null")
+        .groupBy("inverter")
+        .agg(points.alias("_points"))
+        .select(
+            "inverter",
+            F.transform(bins, lambda b: F.try_element_at("_points", b)).alias("curve"),
+        )
+    )
     models = (
         inverters.where("kwp > 0")
         .select("inverter", "kwp", "module_type")
@@ -225,7 +235,7 @@ def curve_p50(params: Params, bin_: Column | None = None, fleet: Column | None =
     fleet = F.col("fleet_p50_per_kwp") if fleet is None else fleet
     middle = (bin_ + 0.5) / params.curve_bins_per_unit
     physics = F.least(F.lit(1.0), middle * F.coalesce("eta_system", F.lit(params.default_eta)))
-    specific = F.coalesce(F.try_element_at("curve", bin_), fleet, physics)
+    specific = F.coalesce(F.get("curve", bin_), fleet, physics)
     return F.col("kwp") * F.least(F.lit(1.0), F.greatest(F.lit(0.0), specific))
 
 
