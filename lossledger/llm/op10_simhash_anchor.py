@@ -13,7 +13,7 @@ Anchors with many homes are cut into blocks of homes x blocks of replicas, so no
 a block of either. Links become components by ``components.roots``.
 
 Cases: a null text counts as empty; texts without a word have fingerprint zero and link like others;
-repeated rows get equal results; a null id gets its group's smallest id and null if there is none; an
+repeated rows get equal results, and rows of one id with different texts are judged apart; a null id gets its group's smallest id and null if there is none; an
 empty table gives an empty result.
 """
 
@@ -25,10 +25,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import row_key, settled, small_side, table
+from lossledger.llm.common import settled, small_side, table
 from lossledger.llm.components import roots
 
 SHINGLE_WORDS = 4
@@ -146,6 +146,11 @@ def _links(key: np.ndarray, role: np.ndarray, prints: np.ndarray, most: int) ->
     return nodes[moved], nodes[forest.of[moved]]
 
 
+def copy_key(doc_id: Column, text: Column) -> Column:
+    """Names a row by its id and its text's hash; rows that agree in both are copies of one document."""
+    return F.concat_ws(" ", doc_id.cast("string"), F.xxhash64(text).cast("string"))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """(key, doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
 
@@ -155,7 +160,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
             prints = np.array([fingerprint(t or b"", size) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(prints)], ["key", "doc_id", "fp"])
 
-    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(copy_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(printed, "key string, doc_id long, fp long")
 
 
@@ -252,12 +257,15 @@ def op10_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group: the smallest id's (a named row before unnamed ones); all columns."""
+    """One row of each group: the smallest id's (a named row before unnamed ones); all columns.
+
+    Rows of one id with different texts are different documents, each judged in its own group.
+    """
     found = near_duplicates(docs).where("key = keeper").select("key").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), copy_key(F.col("doc_id"), F.col("text")).alias("row_key"))
     kept = rows.join(found, F.col("row_key") == F.col("key"), "left_semi")
-    # rows that repeat an id are copies of one document; the join has dealt them by id already
-    return kept.groupBy("row_key").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row.*")
+    # rows that repeat id and text are copies of one document; the join has dealt them by both already
+    return kept.groupBy("row_key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,14 @@ def test_near_duplicate_components(spark, prose):
     assert kept == sorted(set(expected))
 
 
+def test_one_id_with_two_texts_loses_no_group(spark, prose):
+    """Id 1 has texts A and B, each the keeper of its own group; id 2 has C, a near copy of a kept text, and D."""
+    a, b, c, d = (prose(200, 900 + i) for i in range(4))
+    docs = spark.createDataFrame([(1, a), (1, b), (3, a), (4, b), (0, c), (2, c), (2, d), (1, a)], "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"]) for r in op10_simhash_anchor.keep_one(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (0, c), (2, d)])
+
+
 def test_components_of_chains_and_stars(spark):
     chance = random.Random(4)
     ids = list(range(1000))
