@@ -134,6 +134,22 @@ def test_more_sources_than_lines_share_one(spark):
     assert sorted(r["doc_id"] for r in got) == list(range(50))
 
 
+@pytest.mark.parametrize("weights", [{f"s{i:02}": 1.0 for i in range(20)}, {"a": 0.9991, "b": 0.0005, "c": 0.0004}, {"a": 0.37, "b": 1 / 3, "c": 0.2967}])
+def test_mixture_deviates_by_less_than_a_block_from_the_weights_given(spark, weights):
+    """Over many ranges of 1,024 slots and unrounded weights, until the first source runs out."""
+    total = sum(weights.values())
+    rows = [(s, n) for s, w in weights.items() for n in range(round(20_000 * w / total))]
+    docs = spark.createDataFrame([(i, s, "x") for i, (s, _) in enumerate(rows)], "doc_id long, source string, text string")
+    got = op03_pfair.mixed(docs, weights, op03_pfair.Settings(block_rows=1)).select("slot", "source").collect()
+    line = [s for _, s in sorted(got)]
+    assert sorted(x for x, _ in got) == list(range(len(rows)))
+    ends = min(max(i for i, s in enumerate(line) if s == x) for x in weights)
+    done = dict.fromkeys(weights, 0)
+    for now, source in enumerate(line[:ends]):
+        done[source] += 1
+        assert all(abs(done[s] - w / total * (now + 1)) < 1 + 1e-6 for s, w in weights.items())
+
+
 def test_shards_match_their_sql(spark, tmp_path, prose):
     rows = [(i, prose(i % 9, i), None if i % 11 == 0 else f"s{min(i % 5, 2)}") for i in range(500)] + [(None, None, ""), (3, "é𝒳", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
