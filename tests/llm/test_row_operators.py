@@ -150,6 +150,18 @@ def test_mixture_deviates_by_less_than_a_block_from_the_weights_given(spark, wei
         assert all(abs(done[s] - w / total * (now + 1)) < 1 + 1e-6 for s, w in weights.items())
 
 
+def test_sources_without_a_line_keep_their_share(spark):
+    """40 equal sources, 7 of them with a line of their own; more given weights than lines."""
+    docs = spark.createDataFrame([(i, f"s{i % 40}", "x") for i in range(2400)], "doc_id long, source string, text string")
+    for weights in (None, {f"s{i}": 0.025 for i in range(40)}):
+        got = op03_pfair.mixed(docs, weights, op03_pfair.Settings(max_sources=8, block_rows=1)).collect()
+        assert sorted(r["slot"] for r in got) == list(range(2400))
+        done = dict.fromkeys((f"s{i}" for i in range(40)), 0)
+        for now, r in enumerate(sorted(got, key=lambda r: r["slot"])):
+            done[r["source"]] += 1
+            assert max(abs(n - (now + 1) / 40) for n in done.values()) < 2
+
+
 def test_shards_match_their_sql(spark, tmp_path, prose):
     rows = [(i, prose(i % 9, i), None if i % 11 == 0 else f"s{min(i % 5, 2)}") for i in range(500)] + [(None, None, ""), (3, "é𝒳", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
