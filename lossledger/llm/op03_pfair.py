@@ -32,13 +32,15 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossledger.llm.common import seeded_order, settled, small_side, table
 from lossledger.llm.ranks import bucket, ranked
 
 REST = "\x00rest"
+#: Weights of the pipeline's mixture; None: row counts to the power ``temper``.
+STAGE_WEIGHTS: Mapping[str, float] | None = None
 #: Sources, or groups of them, that share a group of the rest line.
 GROUP = 32
 #: Weights are whole numbers that add to about this.
@@ -315,9 +317,11 @@ def _slots(line: Line, block: np.ndarray, period: Mapping[int, int]) -> np.ndarr
     return out
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, settings: Settings = Settings(), carry: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, settings: Settings = Settings(), carry: bool = False, tie: Column | None = None) -> DataFrame:
     """(doc_id, source, block, slot, place) of every row; with ``carry`` also row, the whole row.
 
+    ``tie`` orders rows that repeat an id; with ``carry`` it is their text's hash by default.
+
     Rows ordered by (slot, place) are the mixture.
     """
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
@@ -351,7 +355,9 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, settings:
     chosen = [F.col("doc_id"), F.col("source"), line.alias("line"), seeded_order(F.col("doc_id"), settings.seed).alias("h")]
     if carry:
         chosen.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    chosen.append(F.xxhash64("text").alias("tie") if carry else F.lit(0).alias("tie"))
+    if tie is None:
+        tie = F.xxhash64("text") if carry else F.lit(0)
+    chosen.append(tie.alias("tie"))
     rows = docs.select(*chosen).join(small_side(counts), "line").withColumn("bucket", bucket(F.col("h") / float(1 << 60), F.col("line_rows")))
     rows = ranked(rows, ["line"], [F.col("h"), F.col("doc_id"), F.col("tie")], "rank")
     columns = ["doc_id", "source", *(["row"] if carry else [])]
@@ -399,5 +405,5 @@ def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, laid out in the order of the mixture."""
-    return mixed(docs, carry=True).orderBy("slot", "place").select("row.*")
+    """Pipeline stage: all documents, laid out in the order of the mixture (which the sharding stage keeps)."""
+    return mixed(docs, STAGE_WEIGHTS, carry=True).orderBy("slot", "place").select("row.*")

@@ -13,9 +13,12 @@ an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lossledger.llm import op03_pfair
 from lossledger.llm.common import seeded_order, settled, small_side, table
 from lossledger.llm.ranks import bucket, ranked
 
@@ -64,9 +67,38 @@ def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
+def mixture_shards(docs: DataFrame, weights: Mapping[str, float] | None = None, count: int = SHARDS) -> DataFrame:
+    """The columns of ``shards``: the mixture's order dealt to ``count`` shards in turn.
+
+    Each shard holds every ``count``-th row, so its slots follow the mixture, and a source's rows, which
+    lie there in blocks, are spread over all shards.
+    """
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    rows = docs.select(
+        "doc_id",
+        "source",
+        (F.octet_length(raw) + 1).cast("long").alias("size"),
+        F.crc32(raw).alias("text_crc32"),
+        F.xxhash64("text").alias("text_hash"),
+    )
+    mixture = settled(op03_pfair.mixed(settled(rows), weights, carry=True, tie=F.col("text_hash")))
+    total, most = mixture.agg(F.count("*"), F.max("slot")).first()
+    placed = mixture.withColumn("bucket", bucket(F.col("slot") / float((most or 0) + 1), F.lit(total).cast("long")))
+    line = ranked(placed.withColumn("all", F.lit(0)), ["all"], [F.col("slot"), F.col("place")], "position")
+    return line.select(
+        "doc_id",
+        F.col("row.size").alias("size"),
+        F.col("row.text_crc32").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        (F.col("position") % count).cast("int").alias("shard"),
+        F.expr(f"position div {count}").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the shard and slot of every document."""
-    return shards(docs)
+    """Last pipeline stage: the shard and slot of every document, in the mixing stage's order."""
+    return mixture_shards(docs, op03_pfair.STAGE_WEIGHTS)
 
 
 #: The same rows from plain windows. DuckDB has no CRC-32: it is folded over each text's bytes.

@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from lossledger.llm import catalog
+from lossledger.llm import catalog, op03_pfair, op08_stratified
 
 QUERIES = catalog.queries()
 #: These give a row for each row of their table; decontamination gives a row for each match.
@@ -51,3 +51,18 @@ def test_pipeline_keeps_clean_documents_once(spark, messy):
     assert not kept & {3, 4} and not kept & {100 + i for i in range(20)}
     assert 205 not in kept and 7 in kept  # copies: the smallest id stays
     assert len(kept & set(range(60))) >= 20
+
+
+def test_pipeline_follows_the_target_weights(spark, messy, monkeypatch):
+    """The shards change with the weights and lie in the order that the mixing stage wrote."""
+    found = []
+    for weights in ({"s0": 0.8, "s1": 0.1, "s2": 0.1}, {"s0": 0.1, "s1": 0.1, "s2": 0.8}):
+        monkeypatch.setattr(op03_pfair, "STAGE_WEIGHTS", weights)
+        got = corpus_pipeline.run(spark, messy).select("doc_id", "shard", "slot").collect()
+        assert len({r["shard"] for r in got}) == 16 and len({(r["shard"], r["slot"]) for r in got}) == len(got)
+        found.append({tuple(r) for r in got})
+    assert len(found[0]) == len(found[1]) and found[0] != found[1]
+    docs = spark.read.parquet(f"{messy}/documents.parquet").where("doc_id < 200").dropDuplicates(["doc_id"])
+    mixture = [r["doc_id"] for r in op03_pfair.stage(spark, docs, messy).collect()]
+    shards = op08_stratified.stage(spark, docs, messy).orderBy("slot", "shard").collect()
+    assert [r["doc_id"] for r in shards] == mixture
