@@ -17,6 +17,7 @@ from lossledger.llm.op07_blob_ledger import op7_blob_ledger
 from lossledger.llm.op08_stratified import op8_stratified_shards
 from lossledger.llm.op09_contextual import op9_contextual_pii
 from lossledger.llm.op10_simhash_anchor import op10_simhash_anchor
+from lossledger.llm.op11_merkle_versions import op11_merkle_versions
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_stratified_shards,
         op9_contextual_pii,
         op10_simhash_anchor,
+        op11_merkle_versions,
     )
     return {f.__name__: f for f in every}
 

@@ -58,12 +58,17 @@ def messy(spark, prose, junk, tmp_path_factory):
     pages = [(i, f"http://a.example/{i}", page.format(i)) for i in range(6)]
     pages += [(None, None, None), (7, "", ""), (8, "http://a.example/0", "<p>cut <b>off &am"), (0, "http://a.example/0", page.format(0))]
     spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' AS host", "'y' AS classes").write.parquet(f"{folder}/pages.parquet")
+    chance = random.Random(4)
+    vecs = [(i, [chance.uniform(-0.2, 0.2) for _ in range(8)], i % 3) for i in range(300)]
+    vecs += [(None, [0.1] * 8, 1), (400, None, 1), (401, [0.1] * 8, None), (402, [float("nan")] + [0.1] * 7, 1), (403, [None] + [0.1] * 7, 2)]
+    vecs += [vecs[100], vecs[100], (404, [0.0] * 8, 0), (500, [0.05] * 8, 2), (600, [0.05] * 8, 2), (700, [float("inf")] * 8, 1)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").selectExpr("*", "0 AS score", "'x' AS node").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 @pytest.fixture(scope="session")
 def empty(spark, messy, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark", "pages"):
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{messy}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
