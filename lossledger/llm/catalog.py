@@ -18,6 +18,7 @@ from lossledger.llm.op08_stratified import op8_stratified_shards
 from lossledger.llm.op09_contextual import op9_contextual_pii
 from lossledger.llm.op10_simhash_anchor import op10_simhash_anchor
 from lossledger.llm.op11_merkle_versions import op11_merkle_versions
+from lossledger.llm.op12_binary_packing import op12_binary_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_contextual_pii,
         op10_simhash_anchor,
         op11_merkle_versions,
+        op12_binary_packing,
     )
     return {f.__name__: f for f in every}
 
