@@ -19,6 +19,7 @@ from lossledger.llm.op09_contextual import op9_contextual_pii
 from lossledger.llm.op10_simhash_anchor import op10_simhash_anchor
 from lossledger.llm.op11_merkle_versions import op11_merkle_versions
 from lossledger.llm.op12_binary_packing import op12_binary_packing
+from lossledger.llm.op13_cover_negatives import op13_cover_negatives
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_simhash_anchor,
         op11_merkle_versions,
         op12_binary_packing,
+        op13_cover_negatives,
     )
     return {f.__name__: f for f in every}
 
