@@ -246,3 +246,37 @@ def mine(emb: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: i
 def op13_cover_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every anchor of ``embeddings`` (vec_id divisible by 100) against all rows."""
     return mine(table(spark, sf_dir, "embeddings"))
+
+
+#: The same rows in DuckDB's SQL, by exhaustive joins (for the correctness check on small tables).
+SQL = """
+WITH ok AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+         CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INTEGER) AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
+),
+scored AS (
+  SELECT a.rid, a.vec_id AS anchor_id, a.label AS anchor_label, o.vec_id AS other_id, o.label AS other_label,
+         CAST(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(o.v)) + 1), lambda i: a.v[i] * o.v[i])), 0) AS BIGINT) AS score
+  FROM ok a JOIN ok o ON a.vec_id % 100 = 0
+),
+pos AS (
+  SELECT * FROM (
+    SELECT rid, anchor_id, anchor_label, other_id AS positive_id, score AS positive_score,
+           row_number() OVER (PARTITION BY rid ORDER BY score DESC, other_id ASC NULLS LAST) AS pos_rank
+    FROM scored WHERE other_label = anchor_label AND other_id IS DISTINCT FROM anchor_id
+  ) WHERE pos_rank <= 5
+),
+neg AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, p.anchor_label, p.pos_rank, s.other_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.rid, p.pos_rank ORDER BY s.score DESC, s.other_id ASC NULLS LAST) AS rank
+  FROM pos p JOIN scored s ON s.rid = p.rid AND s.other_label <> p.anchor_label
+   AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score, anchor_label,
+       CAST(pos_rank AS INTEGER) AS pos_rank
+FROM neg WHERE rank <= 5
+"""

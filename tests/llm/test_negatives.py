@@ -69,3 +69,13 @@ def test_tree_search_against_a_scan(seed):
 
 def test_empty_table(spark, empty):
     assert op13.op13_cover_negatives(spark, empty).count() == 0
+
+
+def test_sql_answer_against_exhaustive_search(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM read_parquet('/root/testdata/sf0.01/embeddings.parquet')")
+    got = sorted((tuple(r[:6]) for r in con.execute(op13.SQL).fetchall()), key=str)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    assert got == plain(rows)
