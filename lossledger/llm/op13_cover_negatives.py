@@ -9,10 +9,10 @@ centers picked farthest first until each point lies within half the node's radiu
 radius), the node's center first, so centers nest across levels. For an anchor q and a node of center c
 and radius R, every score lies in q.c -+ |q| R.
 
-A search is best-first: nodes wait in a heap by their upper bound (at most the window's top); a node
-whose bounds fall outside the score window is skipped; leaves are verified exactly (integer scores,
-exact in float64 since they are small integers); the search ends once k rows are found and no waiting
-node can beat the k-th. Positives search the anchor's own label with no window; negatives search the
+A search is best-first and runs for a block of queries at once: nodes wait in one heap by the best
+upper bound (at most the window's top) of the queries still alive in them; a query leaves a node whose
+bounds fall outside its window or cannot beat its k-th row; leaves are verified exactly for all their
+live queries in one matrix product (integer scores, exact in float64 since they are small integers). Positives search the anchor's own label with no window; negatives search the
 other labels with the window 80 p <= 100 s <= 100 p of each positive's score p.
 
 Spark deals candidates into trees of about ``SHARD_ROWS`` rows (a label with more rows has more trees),
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -50,8 +51,8 @@ LOW, HIGH = 80, 100
 SHARD_ROWS = 20_000
 QUERY_ROWS = 20_000
 #: Points of a leaf at most, unless they cannot be told apart; centers of a node at most (radii stay exact).
-LEAF = 48
-FANOUT = 32
+LEAF = 512
+FANOUT = 8
 NO_ID = np.iinfo(np.int64).max
 
 HITS = "qkey long, pos_rank int, cand_id long, cand_key long, score long"
@@ -111,37 +112,70 @@ class CoverTree:
 
     def search(self, q: np.ndarray, lo: float, hi: float, skip: int | None, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """The k best (score, id, row) with lo <= score <= hi and id != skip (if given), best first, ties by id then row."""
-        if not len(self.center) or lo > hi:
-            return []
-        qn = float(np.sqrt(q @ q)) * (1 + 1e-9) + 1e-9
-        best: list[tuple[int, int, int]] = []
+        got = self.search_block(q[None, :], np.array([lo]), np.array([hi]), np.array([skip or 0]), np.array([skip is not None]), ids, k)
+        return got[0]
 
-        def bounds(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            cs = self.x[self.center[nodes]] @ q
-            reach = qn * self.radius[nodes] + 1e-6
-            return cs + reach, cs - reach
+    def search_block(
+        self, qs: np.ndarray, lo: np.ndarray, hi: np.ndarray, skip: np.ndarray, skips: np.ndarray, ids: np.ndarray, k: int
+    ) -> list[list[tuple[int, int, int]]]:
+        """``search`` for a block of queries at once.
 
-        upper, lower = bounds(np.array([0]))
-        heap = [(-min(upper[0], hi), 0)] if upper[0] >= lo and lower[0] <= hi else []
-        while heap:
-            top, node = heapq.heappop(heap)
-            if len(best) == k and -top < best[-1][0]:
-                break
-            pts = self.members[node]
-            if pts is not None:
-                s = np.rint(self.x[pts] @ q).astype(np.int64)
-                ok = (s >= lo) & (s <= hi)
-                if skip is not None:
-                    ok &= ids[pts] != skip
-                found = [(int(a), int(b), int(c)) for a, b, c in zip(s[ok], ids[pts][ok], pts[ok])]
-                best = sorted(best + found, key=lambda t: (-t[0], t[1], t[2]))[:k]
-                continue
-            kids = self.kids[node]
-            up, low = bounds(kids)
-            for child, u, w in zip(kids, up, low):
-                if u >= lo and w <= hi and not (len(best) == k and min(u, hi) < best[-1][0]):
-                    heapq.heappush(heap, (-min(u, hi), int(child)))
-        return best
+        Nodes wait in one heap by the best bound of their live queries; a node keeps, per query, the
+        bound min(upper, hi), and a query leaves a node once that is below its own k-th score (ties stay,
+        for the smaller id) or its window lies outside the node's bounds. A leaf scores all its live
+        queries in one product and merges them into each query's k best.
+        """
+        n, m = len(qs), len(ids)
+        # One exact number per (score, row): higher score first, then smaller id, then smaller row.
+        tie = np.empty(m, dtype=np.int64)
+        tie[np.lexsort((np.arange(m), ids))] = np.arange(m)[::-1]
+        worst = -np.inf
+        best = np.full((n, k), worst)
+        if m and n:
+            qn = np.sqrt(np.einsum("ij,ij->i", qs, qs)) * (1 + 1e-9) + 1e-9
+            order = count()
+            cs = qs @ self.x[self.center[0]]
+            reach = qn * self.radius[0] + 1e-6
+            live = (cs + reach >= lo) & (cs - reach <= hi)
+            cap = np.minimum(cs + reach, hi)
+            heap = [(-cap[live].max(), next(order), 0, np.flatnonzero(live), cap[live])] if live.any() else []
+            while heap:
+                _, _, node, act, cap = heapq.heappop(heap)
+                alive = cap >= np.floor(best[act, k - 1] / m)
+                act, cap = act[alive], cap[alive]
+                if not len(act):
+                    continue
+                pts = self.members[node]
+                if pts is not None:
+                    sc = np.rint(qs[act] @ self.x[pts].T)
+                    ok = (sc >= lo[act, None]) & (sc <= hi[act, None]) & ~(skips[act, None] & (ids[pts][None, :] == skip[act, None]))
+                    key = np.where(ok, sc * m + tie[pts][None, :], worst)
+                    both = np.concatenate([best[act], key], axis=1)
+                    top = np.argpartition(-both, k - 1, axis=1)[:, :k] if both.shape[1] > k else np.arange(both.shape[1])[None, :].repeat(len(act), 0)
+                    chosen = np.take_along_axis(both, top, axis=1)
+                    best[act] = -np.sort(-chosen, axis=1)
+                    continue
+                kids = self.kids[node]
+                cs = qs[act] @ self.x[self.center[kids]].T
+                reach = qn[act, None] * self.radius[kids][None, :] + 1e-6
+                caps = np.minimum(cs + reach, hi[act, None])
+                keep = (cs + reach >= lo[act, None]) & (cs - reach <= hi[act, None]) & (caps >= np.floor(best[act, k - 1] / m)[:, None])
+                for j, child in enumerate(kids):
+                    if keep[:, j].any():
+                        heapq.heappush(heap, (-caps[keep[:, j], j].max(), next(order), int(child), act[keep[:, j]], caps[keep[:, j], j]))
+        row_of = np.empty(m, dtype=np.int64)
+        row_of[tie] = np.arange(m)
+        out = []
+        for q in range(n):
+            hits = []
+            for key in best[q]:
+                if key == worst:
+                    continue
+                score = int(np.floor(key / m))
+                row = int(row_of[int(key - score * m)])
+                hits.append((score, int(ids[row]), row))
+            out.append(hits)
+        return out
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -162,11 +196,20 @@ def searcher(k: int):
         ids = cands["cid"].astype(np.int64).to_numpy()
         keys = cands["ckey"].to_numpy()
         qvecs = _matrix(queries["qvec"], width).astype(np.float64)
-        rows = []
-        asked = zip(queries["qkey"], queries["pos_rank"], queries["lo"], queries["hi"], queries["skip"], queries["skips"])
-        for i, (qkey, rank, lo, hi, skip, skips) in enumerate(asked):
-            for score, cid, row in tree.search(qvecs[i], float(lo), float(hi), int(skip) if skips else None, ids, k):
-                rows.append((qkey, rank, cid, keys[row], score))
+        found = tree.search_block(
+            qvecs,
+            queries["lo"].to_numpy(float),
+            queries["hi"].to_numpy(float),
+            queries["skip"].to_numpy(np.int64),
+            queries["skips"].to_numpy(bool),
+            ids,
+            k,
+        )
+        rows = [
+            (qkey, rank, cid, keys[row], score)
+            for qkey, rank, hits in zip(queries["qkey"], queries["pos_rank"], found)
+            for score, cid, row in hits
+        ]
         if not rows:
             return empty
         return pd.DataFrame(rows, columns=["qkey", "pos_rank", "cand_id", "cand_key", "score"])
