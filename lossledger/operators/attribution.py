@@ -58,13 +58,23 @@ def moments(binned_features: DataFrame, controls: DataFrame, fleet: DataFrame) -
 
 
 def interval_base(
-    readings: DataFrame, moments: DataFrame, models: DataFrame, params: Params
+    readings: DataFrame,
+    moments: DataFrame,
+    models: DataFrame,
+    params: Params,
+    predictor=None,
+    features: tuple[str, ...] = (),
+    model_columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """Readings in model daylight with bands, set-points, feed-in and fleet median.
 
     Timestamp facts are one row per timestamp and device facts one row per device,
-    so the long readings take part in exactly two joins.
+    so the long readings take part in exactly two joins. ``predictor`` (default: the
+    power-curve twin) gives the bands; ``features`` are the timestamp columns it needs
+    besides, and ``model_columns`` the device columns it leaves that later steps do not read.
     """
+    predictor = predictor or predict
+    extra = [c for c in features if c not in ("irradiation_w_m2",)]
     daylight = moments.where("is_model_day").select(
         "ts",
         "irradiation_w_m2",
@@ -75,6 +85,7 @@ def interval_base(
         "evu_pct",
         "plant_feed_in_kw",
         "fleet_median_kw_per_kwp",
+        *extra,
     )
     zero = F.lit(0.0)
     rows = readings.select(
@@ -84,7 +95,7 @@ def interval_base(
         F.col("p_ac_kw").isNull().alias("actual_missing"),
     )
     return (
-        predict(rows, daylight, models, params)
+        predictor(rows, daylight, models, params)
         .where("p50_twin_kw > 0")
         .withColumns(
             {
@@ -94,6 +105,7 @@ def interval_base(
         )
         .drop("curve", "bin", "fleet_p50_per_kwp", "eta_system")
         .drop("low_factor", "low_shift", "high_factor", "high_shift")
+        .drop(*extra, *model_columns)
     )
 
 

@@ -417,20 +417,17 @@ def _(d: DriverTables) -> DataFrame:
 
 @query("q_twin_trees")
 def _(d: DriverTables) -> DataFrame:
-    fitted = boosting.fit_devices(d.run.split, DAILY)
-    metrics = twin.validation_metrics(boosting.tree_holdout(d.run.split, fitted, DAILY), d.run.split)
-    return metrics.join(fitted.select("inverter", F.col("rounds_run").alias("model_iterations"), "trees_kept"), "inverter")
+    return d.run.tree_metrics
 
 
 @query("q_twin_bands_trees")
 def _(d: DriverTables) -> DataFrame:
-    fitted = d.run.staging.table("tree_models", lambda: boosting.fit_devices(d.run.split, DAILY))
-    metrics = twin.validation_metrics(boosting.tree_holdout(d.run.split, fitted, DAILY), d.run.split)
-    models = twin.with_band_lines(boosting.tree_models(d.run.inverters, d.run.eta, fitted, metrics), DAILY)
-    pairs = d.run.readings.select("ts", "inverter")
-    return boosting.predict_trees(pairs, d.run.moments, models, DAILY).select(
-        "ts", "inverter", "p10_twin_kw", "p50_twin_kw", "p90_twin_kw"
-    )
+    return d.tree_run.predictions.select("ts", "inverter", "p10_twin_kw", "p50_twin_kw", "p90_twin_kw")
+
+
+@query("q_by_year_cause_trees", digits=2)
+def _(d: DriverTables) -> DataFrame:
+    return ledger.by_year_cause(d.tree_run.ledger)
 
 
 @query("q_twin_eval", digits=3)

@@ -446,7 +446,16 @@ class DriverTables:
 
     @cached_property
     def run(self) -> LedgerRun:
-        inputs = Inputs(
+        return LedgerRun(self.inputs, DAILY, self.staging)
+
+    @cached_property
+    def tree_run(self) -> LedgerRun:
+        """The same run with boosted trees per device as the twin; it shares all other tables."""
+        return LedgerRun(self.inputs, DAILY, self.staging, learner="trees")
+
+    @cached_property
+    def inputs(self) -> Inputs:
+        return Inputs(
             plant=self.plant_raw,
             readings=self.readings_raw,
             error_events=self.error_events,
@@ -455,7 +464,6 @@ class DriverTables:
             tickets=self.tickets,
             error_catalog=self.error_catalog,
         )
-        return LedgerRun(inputs, DAILY, self.staging)
 
 
 _open: dict[tuple[str, str, str], DriverTables] = {}

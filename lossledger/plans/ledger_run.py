@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lossledger.functions import month_of
-from lossledger.operators import attribution, baseline, context, ledger, tickets, trend, twin
+from lossledger.operators import attribution, baseline, boosting, context, ledger, tickets, trend, twin
 from lossledger.params import Params
 from lossledger.sources import Staging
 
@@ -33,12 +33,28 @@ class Inputs:
 
 
 class LedgerRun:
-    """Long tables are partitioned by month, so that time windows read only their months."""
+    """Long tables are partitioned by month, so that time windows read only their months.
 
-    def __init__(self, inputs: Inputs, params: Params, staging: Staging):
+    ``learner`` picks the twin whose bands drive interval losses: ``curve`` (per-device power
+    curve) or ``trees`` (boosted trees per device). Runs on one ``Staging`` share every table that
+    does not depend on the learner; the others get the learner's name. Degradation and health stay
+    on the curve's monthly calendar with either learner (the calendar sums bins, never the
+    timestamps x devices grid, which a tree expectation would need).
+    """
+
+    LEARNERS = ("curve", "trees")
+
+    def __init__(self, inputs: Inputs, params: Params, staging: Staging, learner: str = "curve"):
+        if learner not in self.LEARNERS:
+            raise ValueError(f"learner must be one of {self.LEARNERS}")
         self.inputs = inputs
         self.params = params
         self.staging = staging
+        self.learner = learner
+
+    def _own(self, name: str) -> str:
+        """The staged name of a table that depends on the learner."""
+        return name if self.learner == "curve" else f"{name}_{self.learner}"
 
     def _long_table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         month = month_of(F.col("ts"))
@@ -182,7 +198,7 @@ class LedgerRun:
         return self.staging.table("metrics", self.build_metrics)
 
     @cached_property
-    def models(self) -> DataFrame:
+    def curve_models(self) -> DataFrame:
         return self.staging.table(
             "models",
             lambda: twin.device_models(
@@ -190,6 +206,31 @@ class LedgerRun:
             ),
         )
 
+    @cached_property
+    def tree_fit(self) -> DataFrame:
+        return self.staging.table("tree_fit", lambda: boosting.fit_devices(self.split, self.params))
+
+    def build_tree_metrics(self) -> DataFrame:
+        holdout = boosting.tree_holdout(self.split, self.tree_fit, self.params)
+        metrics = twin.validation_metrics(holdout, self.split)
+        iterations = self.tree_fit.select("inverter", F.col("rounds_run").alias("model_iterations"), "trees_kept")
+        return metrics.join(iterations, "inverter")
+
+    @cached_property
+    def tree_metrics(self) -> DataFrame:
+        return self.staging.table("tree_metrics", self.build_tree_metrics)
+
+    @cached_property
+    def models(self) -> DataFrame:
+        if self.learner == "curve":
+            return self.curve_models
+        return self.staging.table(
+            self._own("models"),
+            lambda: twin.with_band_lines(
+                boosting.tree_models(self.inverters, self.eta, self.tree_fit, self.tree_metrics), self.params
+            ),
+        )
+
     @cached_property
     def moments(self) -> DataFrame:
         def build() -> DataFrame:
@@ -200,12 +241,14 @@ class LedgerRun:
 
     @cached_property
     def predictions(self) -> DataFrame:
+        if self.learner == "trees":
+            return boosting.predict_trees(self.readings, self.moments, self.models, self.params)
         return twin.predict(self.readings, self.moments, self.models, self.params)
 
     # trend ---------------------------------------------------------------------
     def build_health(self) -> DataFrame:
         return trend.monthly_health(
-            self.readings, self.moments, self.models, self.error_intervals, self.params
+            self.readings, self.moments, self.curve_models, self.error_intervals, self.params
         )
 
     @cached_property
@@ -221,7 +264,7 @@ class LedgerRun:
 
     @cached_property
     def expected_monthly(self) -> DataFrame:
-        return twin.expected_monthly(self.moments, self.models, self.params)
+        return twin.expected_monthly(self.moments, self.curve_models, self.params)
 
     # attribution ---------------------------------------------------------------
     def build_error_context(self) -> DataFrame:
@@ -231,6 +274,16 @@ class LedgerRun:
 
     @cached_property
     def interval_base(self) -> DataFrame:
+        if self.learner == "trees":
+            return attribution.interval_base(
+                self.readings,
+                self.moments,
+                self.models,
+                self.params,
+                predictor=boosting.predict_trees,
+                features=(*twin.FEATURES, "physics_base_kw_per_kwp"),
+                model_columns=("base", "rounds_run", "trees_kept", "trees", "p50_physics_kw"),
+            )
         return attribution.interval_base(
             self.readings, self.moments, self.models, self.params
         )
@@ -246,12 +299,12 @@ class LedgerRun:
 
     @cached_property
     def intervals(self) -> DataFrame:
-        return self._long_table("loss_intervals", self.build_intervals)
+        return self._long_table(self._own("loss_intervals"), self.build_intervals)
 
     # ledger --------------------------------------------------------------------
     @cached_property
     def raw(self) -> DataFrame:
-        return self.staging.table("ledger_raw", lambda: ledger.ledger_raw(self.intervals))
+        return self.staging.table(self._own("ledger_raw"), lambda: ledger.ledger_raw(self.intervals))
 
     def build_degradation(self) -> DataFrame:
         return ledger.degradation_loss(
@@ -260,7 +313,7 @@ class LedgerRun:
 
     @cached_property
     def degradation(self) -> DataFrame:
-        return self.staging.table("degradation_loss", self.build_degradation)
+        return self.staging.table(self._own("degradation_loss"), self.build_degradation)
 
     @cached_property
     def adjusted(self) -> DataFrame:
@@ -272,7 +325,7 @@ class LedgerRun:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return self.staging.table("ledger", self.build_ledger)
+        return self.staging.table(self._own("ledger"), self.build_ledger)
 
     # tickets -------------------------------------------------------------------
     @cached_property

@@ -101,3 +101,20 @@ def test_fit_learns_and_the_column_replay_equals_the_trees(spark, split):
                 n = 2 * n + 1 + (x[t["feat"][n]] > t["thr"][n])
             total += t["leaf"][n - (1 << params.gbt_depth) + 1]
         assert r["p50"] == pytest.approx(min(max(total, 0.0), r["kwp"]), abs=1e-9)
+
+
+def test_ledger_run_with_trees(spark):
+    from pyspark.sql import functions as F
+
+    from lossledger.plans.driver_tables import tables
+    from lossledger.plans.ledger_run import LedgerRun
+
+    d = tables(spark, "/root/testdata/sf0.001")
+    base = d.tree_run.interval_base
+    assert not {"trees", "base", "p50_physics_kw", "hour_sin"} & set(base.columns)
+    assert set(d.run.interval_base.columns) == set(base.columns)
+    bad = base.where(~((F.col("p10_twin_kw") <= F.col("p50_twin_kw")) & (F.col("p50_twin_kw") <= F.col("p90_twin_kw")) & (F.col("p90_twin_kw") <= F.col("kwp"))))
+    assert bad.count() == 0
+    assert d.tree_run.ledger.count() > 0 and d.tree_run.readings is d.run.readings  # shared tables
+    with pytest.raises(ValueError):
+        LedgerRun(d.inputs, d.run.params, d.staging, learner="forest")
