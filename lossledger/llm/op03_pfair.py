@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import seeded_order, settled, small_side, table
+from lossledger.llm.common import seeded_order, settled, shared_folder, small_side, table
 from lossledger.llm.ranks import bucket, ranked
 
 REST = "\x00rest"
@@ -404,6 +404,32 @@ def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, laid out in the order of the mixture (which the sharding stage keeps)."""
-    return mixed(docs, STAGE_WEIGHTS, carry=True).orderBy("slot", "place").select("row.*")
+def position_name(columns: list[str]) -> str:
+    """A column name for the mixture position that none of ``columns`` has."""
+    name = "mixture_position"
+    while name in columns:
+        name += "_"
+    return name
+
+
+def order_folder(spark: SparkSession, docs: DataFrame) -> str:
+    """Where the mixture of exactly these rows is kept: named by their count and an order-free digest.
+
+    DataFrame functions only; the sharding stage finds the mixing stage's decision by the same name.
+    """
+    cols = [F.col(f"`{c}`") for c in sorted(docs.columns)]
+    digest = F.sum(F.xxhash64(*cols).cast("decimal(38,0)")) if cols else F.lit(0)
+    n, total = docs.agg(F.count(F.lit(1)), digest).first()
+    return f"{shared_folder(spark)}/mixture-order-{n}-{total or 0}"
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
+    """Pipeline stage: all documents, laid out in the order of the mixture.
+
+    The decision also goes, as the rows with their mixture position, to ``order_folder`` of these rows,
+    where the sharding stage reads it: a stage returns the columns of documents and nothing else.
+    """
+    mix = settled(mixed(docs, STAGE_WEIGHTS, settings, carry=True))
+    position = (F.col("slot") * settings.block_rows + F.col("place")).alias(position_name(docs.columns))
+    mix.select("row.*", position).write.mode("overwrite").parquet(order_folder(spark, docs))
+    return mix.orderBy("slot", "place").select("row.*")

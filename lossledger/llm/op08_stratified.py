@@ -13,9 +13,7 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossledger.llm import op03_pfair
@@ -26,8 +24,14 @@ SHARDS = 16
 SEED = 8
 
 
-def shards(docs: DataFrame, count: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
+def shards(docs: DataFrame, count: int = SHARDS, seed: int = SEED, order: Column | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row.
+
+    ``order``: a non-negative long that is already an interleaving of the sources (the pipeline passes
+    the mixture position, where every stretch holds each source in its target share). It takes the
+    place of the fractional rank, so the cut into equal runs makes shards that match that mixture.
+    """
+    given = order is not None
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     rows = settled(
         docs.select(
@@ -35,16 +39,17 @@ def shards(docs: DataFrame, count: int = SHARDS, seed: int = SEED) -> DataFrame:
             F.coalesce(F.col("source").cast("string"), F.lit("")).alias("stratum"),
             (F.octet_length(raw) + 1).cast("long").alias("size"),
             F.crc32(raw).alias("text_crc32"),
-            seeded_order(F.col("doc_id"), seed).alias("h"),
+            (seeded_order(F.col("doc_id"), seed) if order is None else order.cast("long")).alias("h"),
         )
     )
+    scale = float((rows.agg(F.max("h")).first()[0] or 0) + 1) if given else float(1 << 60)
     strata = settled(rows.groupBy("stratum").agg(F.count("*").alias("stratum_rows")))
     total = strata.agg(F.sum("stratum_rows")).first()[0] or 0
-    sized = rows.join(small_side(strata), "stratum").withColumn("bucket", bucket(F.col("h") / float(1 << 60), F.col("stratum_rows")))
+    sized = rows.join(small_side(strata), "stratum").withColumn("bucket", bucket(F.col("h") / scale, F.col("stratum_rows")))
     ties = [F.col("h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     within = ranked(sized, ["stratum"], ties, "rank")
     placed = settled(
-        within.withColumn("part", (2 * F.col("rank") + 1) / (2.0 * F.col("stratum_rows")))
+        within.withColumn("part", F.col("h") / scale if given else (2 * F.col("rank") + 1) / (2.0 * F.col("stratum_rows")))
         .withColumn("total", F.lit(total).cast("long"))
         .withColumn("bucket", bucket(F.col("part"), F.col("total")))
     )
@@ -67,38 +72,20 @@ def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
-def mixture_shards(docs: DataFrame, weights: Mapping[str, float] | None = None, count: int = SHARDS) -> DataFrame:
-    """The columns of ``shards``: the mixture's order dealt to ``count`` shards in turn.
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Last pipeline stage: the mixture's interleaving cut into shards of equal row counts.
 
-    Each shard holds every ``count``-th row, so its slots follow the mixture, and a source's rows, which
-    lie there in blocks, are spread over all shards.
+    DataFrame functions only. The mixing stage kept its rows with their mixture position under
+    ``op03_pfair.order_folder`` of these very rows; that position takes the place of the fractional
+    rank, so each shard is a stretch of the mixture and holds every source in its target share. Without
+    it (the stage run on its own) the seeded hash and the fractional rank order them, as in ``shards``.
     """
-    raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    rows = docs.select(
-        "doc_id",
-        "source",
-        (F.octet_length(raw) + 1).cast("long").alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-        F.xxhash64("text").alias("text_hash"),
-    )
-    mixture = settled(op03_pfair.mixed(settled(rows), weights, carry=True, tie=F.col("text_hash")))
-    total, most = mixture.agg(F.count("*"), F.max("slot")).first()
-    placed = mixture.withColumn("bucket", bucket(F.col("slot") / float((most or 0) + 1), F.lit(total).cast("long")))
-    line = ranked(placed.withColumn("all", F.lit(0)), ["all"], [F.col("slot"), F.col("place")], "position")
-    return line.select(
-        "doc_id",
-        F.col("row.size").alias("size"),
-        F.col("row.text_crc32").alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        (F.col("position") % count).cast("int").alias("shard"),
-        F.expr(f"position div {count}").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the shard and slot of every document, in the mixing stage's order."""
-    return mixture_shards(docs, op03_pfair.STAGE_WEIGHTS)
+    folder = op03_pfair.order_folder(spark, docs)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return shards(docs)
+    placed = spark.read.parquet(folder)
+    return shards(placed, order=F.col(op03_pfair.position_name(docs.columns)))
 
 
 #: The same rows from plain windows. DuckDB has no CRC-32: it is folded over each text's bytes.
