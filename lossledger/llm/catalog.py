@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lossledger.llm import op07_blob_ledger as op07, op08_stratified as op08, op09_contextual as op09, op13_cover_negatives as op13
+from lossledger.llm import op07_blob_ledger as op07, op08_stratified as op08, op09_contextual as op09, op11_merkle_versions as op11, op13_cover_negatives as op13
 from lossledger.llm.op01_isolation import op1_isolation_rules
 from lossledger.llm.op02_compression import op2_compression_quality
 from lossledger.llm.op03_pfair import op3_pfair_mix
@@ -42,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_blob_ledger": op07.SQL, "op8_stratified_shards": op08.SQL, "op9_contextual_pii": op09.SQL, "op13_cover_negatives": op13.SQL}
+    return {"op7_blob_ledger": op07.SQL, "op8_stratified_shards": op08.SQL, "op9_contextual_pii": op09.SQL, "op13_cover_negatives": op13.SQL, "op11_merkle_versions": op11.SQL}
