@@ -11,8 +11,14 @@ from lossledger.sources.sinks import write_table
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session: ``spark.checkpoint.dir``, else one beside the warehouse."""
+    """The shared folder of the session: ``spark.checkpoint.dir``, else (local master only) one beside the warehouse.
+
+    On a cluster the default warehouse may be a local path that executors do not share, so an unset
+    checkpoint folder is an error there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging").rstrip("/")
 
 
