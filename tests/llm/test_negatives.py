@@ -79,3 +79,22 @@ def test_sql_answer_against_exhaustive_search(spark):
     got = sorted((tuple(r[:6]) for r in con.execute(op13.SQL).fetchall()), key=str)
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert got == plain(rows)
+
+
+def test_block_search_against_a_scan():
+    chance = np.random.default_rng(11)
+    x = chance.integers(-40, 40, size=(3000, 24))
+    x[500:900] = x[500]  # a large group of equal points
+    ids = chance.integers(0, 2000, size=3000)  # repeated ids
+    tree = op13.CoverTree(x)
+    qs = chance.integers(-40, 40, size=(300, 24)).astype(np.float64)
+    s = (qs @ x.T.astype(np.float64)).astype(np.int64)
+    hi = np.sort(s, axis=1)[:, -3].astype(float)
+    lo = np.ceil(0.8 * hi)
+    lo[:100], hi[:100] = -1e18, 1e18  # no window
+    skip, skips = ids[:300], np.arange(300) % 2 == 0
+    got = tree.search_block(qs, lo, hi, skip, skips, ids, 5)
+    for q in range(300):
+        keep = (s[q] >= lo[q]) & (s[q] <= hi[q]) & ~(skips[q] & (ids == skip[q]))
+        want = sorted(((int(a), int(b), int(c)) for a, b, c in zip(s[q][keep], ids[keep], np.flatnonzero(keep))), key=lambda t: (-t[0], t[1], t[2]))[:5]
+        assert got[q] == want
