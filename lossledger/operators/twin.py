@@ -120,36 +120,59 @@ def split_rows(rows: DataFrame, params: Params) -> DataFrame:
     """Mark rows ``is_fit`` / ``is_valid``: by date, or the first share where a side is too small.
 
     Devices with too few clean rows are left out; the twin serves them from the
-    fleet's curve. The window holds one device's training year.
+    fleet's curve. A cut at the k-th row of a device in time is found without ordering
+    the device's year: per-device counts, a (device, day) histogram with running counts
+    gives the day that holds rank k, and only that day's rows are ranked. Flags are then
+    comparisons with the cut timestamps. ``(ts, inverter)`` is a key of ``rows``.
     """
-    device = Window.partitionBy("inverter")
     early = F.col("ts") < F.lit(params.holdout_from).cast("timestamp_ntz")
-    position = F.row_number().over(device.orderBy("ts"))
     n, n_early = F.col("_n"), F.col("_n_early")
     by_date = (n_early >= params.min_fit_rows) & (n - n_early >= params.min_valid_rows)
     cut = F.greatest(F.lit(params.min_fit_rows), F.floor(n * params.fit_share))
-    n_fit = F.when(by_date, n_early).otherwise(F.least(cut, n))
+    n_fit = F.when(by_date, n_early).otherwise(F.least(cut, n)).cast("long")
     tail = F.least(F.lit(params.holdout_tail_rows), n)
-    enough = n - n_fit >= params.min_holdout_rows
-    return (
-        rows.withColumns(
-            {
-                "_n": F.count(F.lit(1)).over(device),
-                "_n_early": F.count_if(early).over(device),
-                "_position": position,
-            }
-        )
+    stats = (
+        rows.groupBy("inverter")
+        .agg(F.count(F.lit(1)).alias("_n"), F.count_if(early).alias("_n_early"))
         .where(n >= params.min_rows_per_device)
+        .select(
+            "inverter",
+            "_n",
+            n_fit.alias("_fit"),
+            (n - tail).cast("long").alias("_tail_from"),
+            (n - n_fit >= params.min_holdout_rows).alias("_enough"),
+        )
+    )
+    day = F.to_date("ts")
+    days = rows.groupBy("inverter", day.alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
+    running = Window.partitionBy("inverter").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("_through", F.sum("_c").over(running))  # one row a device and day
+    wanted = stats.select(
+        "inverter",
+        F.explode(F.array(F.struct(F.lit("fit").alias("which"), F.col("_fit").alias("k")),
+                          F.struct(F.lit("tail").alias("which"), F.col("_tail_from").alias("k")))).alias("_w"),
+    ).select("inverter", "_w.which", "_w.k")
+    at_day = wanted.join(days, "inverter").where((F.col("_through") - F.col("_c") < F.col("k")) & (F.col("k") <= F.col("_through")))
+    own_day = Window.partitionBy("inverter", "which").orderBy("ts")
+    cuts = (
+        rows.select("inverter", "ts", day.alias("_day"))
+        .join(at_day.select("inverter", "_day", "which", (F.col("k") - F.col("_through") + F.col("_c")).alias("_r")), ["inverter", "_day"])
+        .withColumn("_rank", F.row_number().over(own_day))
+        .where(F.col("_rank") == F.col("_r"))
+        .groupBy("inverter")
+        .agg(F.max(F.when(F.col("which") == "fit", F.col("ts"))).alias("_fit_ts"), F.max(F.when(F.col("which") == "tail", F.col("ts"))).alias("_tail_ts"))
+    )
+    after_fit = F.coalesce(F.col("ts") > F.col("_fit_ts"), F.lit(True))  # no fit rows: all come after
+    return (
+        rows.join(stats.join(cuts, "inverter", "left"), "inverter")
         .withColumns(
             {
-                "is_fit": F.col("_position") <= n_fit,
-                "is_valid": F.when(enough, F.col("_position") > n_fit).otherwise(
-                    F.col("_position") > n - tail
-                ),
-                "n_clean": n,
+                "is_fit": F.coalesce(F.col("ts") <= F.col("_fit_ts"), F.lit(False)),
+                "is_valid": F.when(F.col("_enough"), after_fit).otherwise(F.coalesce(F.col("ts") > F.col("_tail_ts"), F.lit(True))),
+                "n_clean": F.col("_n"),
             }
         )
-        .drop("_n", "_n_early", "_position")
+        .select(*rows.columns, "is_fit", "is_valid", "n_clean")
     )
 
 
