@@ -404,14 +404,6 @@ def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
-def position_name(columns: list[str]) -> str:
-    """A column name for the mixture position that none of ``columns`` has."""
-    name = "mixture_position"
-    while name in columns:
-        name += "_"
-    return name
-
-
 def order_folder(spark: SparkSession, docs: DataFrame) -> str:
     """Where the mixture of exactly these rows is kept: named by their count and an order-free digest.
 
@@ -424,12 +416,23 @@ def order_folder(spark: SparkSession, docs: DataFrame) -> str:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
-    """Pipeline stage: all documents, laid out in the order of the mixture.
+    """Pipeline stage: keeps all documents; its decision is the mixture position of every row.
 
-    The decision also goes, as the rows with their mixture position, to ``order_folder`` of these rows,
-    where the sharding stage reads it: a stage returns the columns of documents and nothing else.
+    A stage returns the columns of documents and nothing else, so the mixture of the rows' slim form
+    (id, source, size, checksum and text hash: no text is shuffled) goes to ``order_folder`` of these
+    rows, with its position (slot x block rows + place), where the sharding stage reads it.
     """
-    mix = settled(mixed(docs, STAGE_WEIGHTS, settings, carry=True))
-    position = (F.col("slot") * settings.block_rows + F.col("place")).alias(position_name(docs.columns))
-    mix.select("row.*", position).write.mode("overwrite").parquet(order_folder(spark, docs))
-    return mix.orderBy("slot", "place").select("row.*")
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    slim = settled(
+        docs.select(
+            "doc_id",
+            "source",
+            (F.octet_length(raw) + 1).cast("long").alias("size"),
+            F.crc32(raw).alias("text_crc32"),
+            F.xxhash64("text").alias("text_hash"),
+        )
+    )
+    mix = mixed(slim, STAGE_WEIGHTS, settings, carry=True, tie=F.col("text_hash"))
+    position = (F.col("slot") * settings.block_rows + F.col("place")).alias("position")
+    mix.select("row.doc_id", "row.source", "row.size", "row.text_crc32", position).write.mode("overwrite").parquet(order_folder(spark, docs))
+    return docs

@@ -13,7 +13,7 @@ an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossledger.llm import op03_pfair
@@ -24,32 +24,38 @@ SHARDS = 16
 SEED = 8
 
 
-def shards(docs: DataFrame, count: int = SHARDS, seed: int = SEED, order: Column | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row.
-
-    ``order``: a non-negative long that is already an interleaving of the sources (the pipeline passes
-    the mixture position, where every stretch holds each source in its target share). It takes the
-    place of the fractional rank, so the cut into equal runs makes shards that match that mixture.
-    """
-    given = order is not None
+def shards(docs: DataFrame, count: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    rows = settled(
+    return cut(
         docs.select(
             "doc_id",
             F.coalesce(F.col("source").cast("string"), F.lit("")).alias("stratum"),
             (F.octet_length(raw) + 1).cast("long").alias("size"),
             F.crc32(raw).alias("text_crc32"),
-            (seeded_order(F.col("doc_id"), seed) if order is None else order.cast("long")).alias("h"),
-        )
+            seeded_order(F.col("doc_id"), seed).alias("h"),
+        ),
+        count,
     )
-    scale = float((rows.agg(F.max("h")).first()[0] or 0) + 1) if given else float(1 << 60)
+
+
+def cut(rows: DataFrame, count: int = SHARDS, interleaved: bool = False) -> DataFrame:
+    """Shards of (doc_id, stratum, size, text_crc32, h): rows ranked by ``h`` within their stratum.
+
+    ``interleaved``: ``h`` (non-negative) is already an interleaving of the strata (the pipeline's
+    mixture position, where every stretch holds each source in its target share); it takes the place of
+    the fractional rank, so the cut into equal runs makes shards that match that mixture.
+    """
+    rows = settled(rows)
+    scale = float((rows.agg(F.max("h")).first()[0] or 0) + 1) if interleaved else float(1 << 60)
     strata = settled(rows.groupBy("stratum").agg(F.count("*").alias("stratum_rows")))
     total = strata.agg(F.sum("stratum_rows")).first()[0] or 0
     sized = rows.join(small_side(strata), "stratum").withColumn("bucket", bucket(F.col("h") / scale, F.col("stratum_rows")))
     ties = [F.col("h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     within = ranked(sized, ["stratum"], ties, "rank")
+    fraction = F.col("h") / scale if interleaved else (2 * F.col("rank") + 1) / (2.0 * F.col("stratum_rows"))
     placed = settled(
-        within.withColumn("part", F.col("h") / scale if given else (2 * F.col("rank") + 1) / (2.0 * F.col("stratum_rows")))
+        within.withColumn("part", fraction)
         .withColumn("total", F.lit(total).cast("long"))
         .withColumn("bucket", bucket(F.col("part"), F.col("total")))
     )
@@ -84,8 +90,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return shards(docs)
-    placed = spark.read.parquet(folder)
-    return shards(placed, order=F.col(op03_pfair.position_name(docs.columns)))
+    placed = spark.read.parquet(folder).select(
+        "doc_id",
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("stratum"),
+        "size",
+        "text_crc32",
+        F.col("position").alias("h"),
+    )
+    return cut(placed, SHARDS, interleaved=True)
 
 
 #: The same rows from plain windows. DuckDB has no CRC-32: it is folded over each text's bytes.

@@ -65,6 +65,7 @@ def test_pipeline_follows_the_target_weights(spark, messy, monkeypatch):
         found.append({tuple(r) for r in got})
     assert len(found[0]) == len(found[1]) and found[0] != found[1]
     docs = spark.read.parquet(f"{messy}/documents.parquet").where("doc_id < 200").dropDuplicates(["doc_id"])
-    mixture = [r["doc_id"] for r in op03_pfair.stage(spark, docs, messy).collect()]
+    assert op03_pfair.stage(spark, docs, messy).count() == docs.count()
+    mixture = [r["doc_id"] for r in spark.read.parquet(op03_pfair.order_folder(spark, docs)).orderBy("position").collect()]
     shards = op08_stratified.stage(spark, docs, messy).orderBy("shard", "slot").collect()
     assert [r["doc_id"] for r in shards] == mixture  # each shard a stretch of the mixture, in its order
