@@ -118,3 +118,52 @@ def test_ledger_run_with_trees(spark):
     assert d.tree_run.ledger.count() > 0 and d.tree_run.readings is d.run.readings  # shared tables
     with pytest.raises(ValueError):
         LedgerRun(d.inputs, d.run.params, d.staging, learner="forest")
+
+
+def test_devices_grown_together_equal_each_grown_alone():
+    chance = np.random.default_rng(5)
+    edges = [np.arange(k, dtype=float) + 0.5 for k in (40, 5, 0)]
+    parts = []
+    for device in range(30):
+        n = int(chance.integers(1, 90))
+        x = np.stack([chance.integers(0, len(e) + 1, n) for e in edges], axis=1)
+        stop = chance.random(n) < (0.2 if device % 5 else 0.0)
+        parts.append((x, x[:, 0] * 0.1 + chance.normal(0, 1.0, n), stop))
+    x, y, stop = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    owner = np.repeat(np.arange(30), [len(p[1]) for p in parts])
+    base, rounds, *trees = boosting.grow_fleet(x, y, stop, owner, 30, edges, SMALL)
+    for i, part in enumerate(parts):
+        alone = boosting.grow(*part, edges, SMALL)
+        assert (base[i], rounds[i]) == (alone[0], alone[2])
+        for k, name in enumerate(("feat", "thr", "leaf")):
+            assert trees[k][i].tolist() == [t[name] for t in alone[1]]
+
+
+def test_tasks_of_many_devices_and_replay_over_batches(spark, split, monkeypatch):
+    from pyspark.sql import functions as F
+
+    params = Params(gbt_iterations=10, gbt_min_instances=10)
+    devices = spark.range(12).select(F.format_string("D%02d", "id").alias("device"))
+    many = split.crossJoin(devices).withColumn("inverter", F.concat("inverter", "device")).drop("device")
+    alone = {r["inverter"]: r for r in boosting.fit_devices(split, params).collect()}
+    monkeypatch.setattr(boosting, "TOGETHER", 700)  # a device goes on over the end of a batch
+    fitted = spark.createDataFrame(boosting.fit_devices(many, params).collect(), boosting.MODEL)
+    rows = {r["inverter"]: r for r in fitted.collect()}
+    assert len(rows) == 24
+    for r in rows.values():  # other stop rows (the hash holds the name), the same base and learning
+        assert r["trees_kept"] >= 1 and r["base"] == pytest.approx(alone[r["inverter"][0]]["base"], rel=0.2)
+    # the replay gives null without trees, infinity as a value, a null feature to the left
+    odd = many.where("is_valid and hour(ts) < 3").withColumn("altitude_deg", F.when(F.hour("ts") == 1, F.col("altitude_deg")))
+    some = fitted.where("inverter <> 'AD00'")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = boosting.with_trees(odd, some, params).select("ts", "inverter", "p50").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = odd.join(some, "inverter", "left").select("ts", "inverter", boosting.tree_p50(params).alias("p50"))
+    want = {(r["ts"], r["inverter"]): r["p50"] for r in plain.collect()}
+    assert len(got) == len(want) and {r["inverter"] for r in got if r["p50"] is None} == {"AD00"}
+    for r in got:
+        assert r["p50"] == want[r["ts"], r["inverter"]]
+    plan = boosting.with_trees(odd, some, params)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan  # trees are not repeated on every row
