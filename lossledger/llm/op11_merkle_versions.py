@@ -14,7 +14,8 @@ followed by its block's, found by joins from the top down.
 
 A tampered leaf is a new version of the tree that shares every untouched node: only its ancestors are
 copied, and the copy of each is the hash of the copied child with the original sibling, so its root (the
-folded root) comes from folding the tampered leaf along the original path, with no other node rebuilt.
+folded root) comes from folding the tampered leaf along the original path, with no other node rebuilt. A
+leaf that is not tampered is folded along its path in the same way: its proof is checked, not assumed.
 
 Positions inside a language come from a range partition on (language, id, leaf): each task numbers its
 rows, and the rows of earlier tasks of the same language (a small table of counts) are added, so a
@@ -207,7 +208,7 @@ def manifest(docs: DataFrame, block_levels: int = BLOCK_LEVELS, tamper_every: in
             "subroot",
             root.alias("root"),
             F.sha2(F.array_join(F.transform(whole, lambda p: p["sib"]), ""), 256).alias("proof_sha256"),
-            F.when(F.col("changed").isNull() | (F.col("changed") == F.col("leaf")), root).otherwise(fold(F.col("changed"), whole)).alias("folded_root"),
+            fold(F.coalesce("changed", "leaf"), whole).alias("folded_root"),
         )
         .withColumn("verified", F.col("folded_root") == F.col("root"))
     )

@@ -123,3 +123,22 @@ def test_sql_answer_against_plain_tree():
         con.execute("CREATE TABLE documents AS SELECT * FROM frame")
         got = sorted(((r[0], *r[3:]) for r in con.execute(op11.SQL).fetchall()), key=str)
         assert got == plain(rows)
+
+
+def test_untampered_leaves_are_folded_along_their_own_proof(spark, tmp_path, monkeypatch):
+    """A wrong sibling in a stored path shows: no leaf counts as verified without being recomputed."""
+    from pyspark.sql import functions as F
+
+    reduce_tree = op11.reduce_tree
+
+    def damaged(nodes, block_levels=op11.BLOCK_LEVELS):
+        paths, top = reduce_tree(nodes, block_levels)
+        wrong = F.transform("path", lambda p: F.struct(F.when(p["sib"].isNotNull(), F.sha2(p["sib"], 256)).alias("sib"), p["side"].alias("side")))
+        return paths.withColumn("path", F.when(F.col("idx") == 0, wrong).otherwise(F.col("path"))), top
+
+    docs = spark.createDataFrame([(i, "s", "en", 4, f"text {i}") for i in range(9)], "doc_id long, source string, lang string, n_chars long, text string")
+    assert all(r["verified"] for r in op11.manifest(docs, tamper_every=1 << 40).collect() if r["doc_id"] != 0)
+    monkeypatch.setattr(op11, "reduce_tree", damaged)
+    got = {r["position"]: r for r in op11.manifest(docs, tamper_every=1 << 40).collect()}
+    assert not got[0]["verified"] and got[0]["folded_root"] != got[0]["root"]
+    assert all(got[i]["verified"] for i in range(1, 9))
