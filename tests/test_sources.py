@@ -51,6 +51,14 @@ def test_tariff_matrix(spark):
     ]
 
 
+def test_tariff_matrix_of_one_file_unfolds_in_many_tasks(spark):
+    names = F.format_string("WR 01.%02d.%03d", F.col("id") % 7, F.col("id"))
+    matrix = spark.range(400).coalesce(1).select(names.alias("device"), *[F.lit("8,5").alias(f"2020-{m:02d}-06") for m in range(1, 13)])
+    rows = reshape.unpivot_tariffs(matrix).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in rows) == 400 * 12
+    assert len(rows) > 1 and max(r["count"] for r in rows) < 0.5 * 400 * 12
+
+
 def test_catalog_keeps_first_listed(spark):
     extract = spark.createDataFrame(
         [(2, "c", "0x5", "5", "later"), (1, "c", "0x5", "5", "Temperatur"), (3, "c", "-", "n/a", "bad")],
