@@ -1,6 +1,8 @@
 """Operators that replace a single-task plan, against brute force."""
 
+import datetime as dt
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -77,3 +79,34 @@ def test_a_busy_day_is_cut_into_pieces(spark):
     got = {r["ts"]: r["v_roll_mean"] for r in windows.rolling_neighbours(rows, "ts", "v").collect()}
     before = {r["ts"]: r["prev_ts"] for r in windows.previous_in_series(rows, "ts", []).collect()}
     assert got == {k: v[0] for k, v in expected.items()} and before == {k: v[1] for k, v in expected.items()}
+
+
+def test_expected_energy_is_dealt_and_not_broadcast(spark, tmp_path):
+    """A small file of models expands to devices x months in many tasks; the rows are not broadcast."""
+    from lossledger.operators import ledger, twin
+    from lossledger.params import Params
+
+    spark.range(300).coalesce(1).selectExpr(
+        "format_string('INV 01.01.%03d', id) as inverter", "'t' as module_type", "50.0D as kwp", "0.8D as eta_system", "array(0.5D) as curve"
+    ).write.parquet(f"{tmp_path}/models")
+    moments = spark.range(24).selectExpr(
+        "timestamp_ntz'2018-01-01 12:00:00' + make_interval(0, int(id)) as ts", "true as is_model_day", "0 as bin", "0.4D as fleet_p50_per_kwp"
+    )
+    expected = twin.expected_monthly(moments, spark.read.parquet(f"{tmp_path}/models"), Params())
+    tasks = expected.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(t["count"] for t in tasks) == 300 * 24 and len(tasks) > 1
+    spark.range(300).selectExpr(
+        "format_string('INV 01.01.%03d', id) as inverter", "date'2018-01-01' as first_month", "-0.05D as slope_ratio_per_year"
+    ).write.parquet(f"{tmp_path}/slopes")
+    raw = "inverter string, month date, bucket string, lost_kwh double, avg_ct_per_kwh double"
+    tariffs = "inverter string, month date, ct_per_kwh double"
+    lost = ledger.degradation_loss(
+        expected,
+        spark.read.parquet(f"{tmp_path}/slopes"),
+        spark.createDataFrame([("INV 01.01.001", dt.date(2018, 2, 1), "UNDERPERFORMANCE_LOCAL", 1.0, 9.0)], raw),
+        spark.createDataFrame([("INV 01.01.001", dt.date(2018, 3, 1), 8.0)], tariffs),
+        Params(),
+    )
+    plan = lost._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[inverter#\d+\], \[inverter#\d+\]", plan)
+    assert lost.count() == 300 * 23  # the first month has lost nothing
