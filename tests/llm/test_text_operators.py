@@ -75,6 +75,33 @@ def test_attention_scores(spark, prose):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_attention_learns_from_every_text(spark, prose):
+    """Every word's topic parts add up to its count; turning the words of any text round changes attention alone."""
+    settings = op04_attention.Settings(table_words=100, fit_rows=3, topics=2, topic_rounds=2, epochs=1)
+    ranks = op04_attention.first_ranks(op04_attention.VOCABULARY, settings.subwords)
+    texts = [prose(60 + i, i) for i in range(10)] + [prose(2500, 10)]
+    assert len(texts[-1]) > 8192
+
+    def fitted(texts):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string")
+        mixture = op04_attention.topic_mixture(op04_attention.subword_bags(docs, ranks), len(ranks), settings)
+        counts = op04_attention.word_counts(docs, ranks, mixture).persist()
+        found = {bytes(r["word"]): r for r in counts.collect()}
+        assert {w: r["c"] for w, r in found.items()} == Counter(w for t in texts for w in op04_attention.words_of(t.encode()))
+        assert all(math.isclose(r["t0"] + r["t1"], r["c"], rel_tol=1e-5) for r in found.values())
+        common, bar = op04_attention.frequent(counts, settings.table_words)
+        model = op04_attention.fit(docs, counts, common, bar, settings)
+        blocks = op04_attention.in_blocks(docs, settings).collect()
+        assert sorted(zlib.decompress(r["zipped"]).decode() for r in blocks) == sorted(texts)
+        return model
+
+    plain = fitted(texts)
+    for i in (0, 4, 7, len(texts) - 1):
+        turned = fitted([" ".join(reversed(t.split())) if k == i else t for k, t in enumerate(texts)])
+        assert np.allclose(plain.tables, turned.tables, atol=1e-4)
+        assert any(np.abs(plain.weights[k] - turned.weights[k]).max() > 1e-4 for k in plain.weights)
+
+
 def test_windows_score_each_token_once(prose):
     """A window as long as the text, and short overlapping ones with full context, agree where both see all."""
     ranks = op04_attention.first_ranks(op04_attention.VOCABULARY, 512)
