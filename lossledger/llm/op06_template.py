@@ -2,13 +2,17 @@
 
 A page is a list of differentiated tokens: element openings told apart by their path of elements (with
 class and id), and whole text blocks told apart by path. Over the pages of a host each token has an
-occurrence vector, its count on every page. Tokens with equal vectors form an equivalence class; a class
-found on at least half of the host's pages (and on two) is valid. Vectors are compared by an order-free
-hash and support, aggregated per (host, token), so a host of any size is only ever counts.
-
-Valid classes nest by path into the host's template: elements that are once on each page bound slots,
-repeated ones (list items, paragraphs) are classes within a slot, and text blocks of a valid class are
-fixed text. What remains in a slot is data. The article is taken from the slot that the template names so
+occurrence vector, its count on every page (copies of a page are one page). Tokens with equal vectors form
+an equivalence class; a class found on at least half of the host's pages (and on two) is frequent. Vectors
+are compared by an order-free hash and support, aggregated per (host, token), so a host of any size is only
+ever counts.
+
+Classes are taken or left whole. Elements of classes that are once on each page bound slots, repeated ones
+(list items, paragraphs) lie within a slot. Text blocks of a class of several tokens are fixed text; a text
+that shares its vector with nothing is data, however frequent. Within an article named so, the fixed text
+is that of the article element's own class, which is there as often as the article: a notice. Where that
+text is most of the article, the pages are copies of each other and it is data. What remains in a slot is
+data. The article is taken from the slot that the template names so
 (article, main); without such an element, from the innermost slot with most of the host's data outside
 slots named as menus, headers, footers, sidebars, notices, adverts, forms or comments. Hosts with too few
 pages to tell use the classes of all pages together, and a page that lacks the template's slot is read by
@@ -43,6 +47,8 @@ class Settings:
     own_pages: int = 4
     #: Share of a host's data that the main slot must hold where no element is named for it.
     main_share: float = 0.6
+    #: Tokens of a class whose texts are fixed, at least.
+    members: int = 2
 
 
 # Elements by their part in HTML.
@@ -190,12 +196,22 @@ class Template:
 
 
 def nested(classes: Sequence[dict], settings: Settings) -> Template:
-    """The template of a host's valid classes: rows of token, pages, total and chars."""
-    once = {r["token"] for r in classes if "\n" not in r["token"] and r["total"] == r["pages"]}
-    fixed = frozenset(r["token"] for r in classes if "\n" in r["token"])
+    """The template of a host's frequent classes: rows of token, vector, pages, total and chars."""
+    grouped: dict[tuple, list[dict]] = {}
+    for r in classes:
+        grouped.setdefault((r.get("vector"), r["pages"], r["total"]), []).append(r)
+    once = {r["token"]: members for (_, n, total), members in grouped.items() if n == total for r in members if "\n" not in r["token"]}
     named = sorted((p for p in once if is_main(p) and not aside(p)), key=lambda p: (p.count("/"), p))
     if named:
-        return Template(named[0], fixed)
+        main = named[0]
+        inside = [r for r in classes if _within(r["token"].partition("\n")[0], main) and not aside(r["token"].partition("\n")[0])]
+        own = {r["token"] for r in once[main]}
+        texts = [r for r in inside if "\n" in r["token"] and r["token"] in own]
+        whole = sum(r["chars"] for r in inside if "\n" not in r["token"])
+        if sum(r["chars"] for r in texts) > (1 - settings.main_share) * whole:
+            texts = []  # copies of one article
+        return Template(main, frozenset(r["token"] for r in texts))
+    fixed = frozenset(r["token"] for members in grouped.values() if len(members) >= settings.members for r in members if "\n" in r["token"])
     data: dict[str, int] = {}
     for r in classes:  # data of an element counts in every slot around it
         if "\n" not in r["token"] and not aside(r["token"]):
@@ -208,6 +224,10 @@ def nested(classes: Sequence[dict], settings: Settings) -> Template:
     return Template(max(held, key=lambda p: (p.count("/"), p), default=""), fixed)
 
 
+def _within(path: str, main: str) -> bool:
+    return not main or path == main or path.startswith(main + "/")
+
+
 def extract(html: str, template: Template) -> str:
     found = blocks(html)
     main = template.main
@@ -217,9 +237,7 @@ def extract(html: str, template: Template) -> str:
         main = own[0] if own else ""
     kept = []
     for path, text in found:
-        if not text or aside(path) or not (path == main or path.startswith(main + "/") or not main):
-            continue
-        if not is_main(main) and _fixed(path, text) in template.fixed:
+        if not text or aside(path) or not _within(path, main) or _fixed(path, text) in template.fixed:
             continue
         kept.append(text)
     return "\n".join(kept)
@@ -242,14 +260,22 @@ def tokens(pages: DataFrame) -> DataFrame:
                     if text:
                         seen.setdefault(path, [0, 0])[1] += len(text)
                         path = _fixed(path, text)
+                        seen.setdefault(path, [0, 0])[1] += len(text)
                     seen.setdefault(path, [0, 0])[0] += 1
                 rows += [(where, token, n, chars, page) for token, (n, chars) in seen.items()]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names)
 
-    return pages.select(F.xxhash64("host").alias("host"), F.xxhash64("url", "html", "host").alias("page"), "html").mapInArrow(
-        listed, "host long, token string, n long, chars long, page long"
-    )
+    return distinct_pages(pages).mapInArrow(listed, "host long, token string, n long, chars long, page long")
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, page, html) of one copy of every page of a host; only pages with copies are shuffled."""
+    rows = pages.select(F.xxhash64("host").alias("host"), F.xxhash64("html", "host").alias("page"), "html")
+    copied = small_side(settled(rows.groupBy("page").agg(F.count("*").alias("copies")).where("copies > 1").select("page")))
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = rows.join(copied, "page", "left_semi").dropDuplicates(["page"]).repartition(tasks, "page")
+    return rows.join(copied, "page", "left_anti").unionByName(one).select("host", "page", "html")
 
 
 def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -271,8 +297,8 @@ def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
         & ((F.col("host_pages") >= settings.own_pages) | (F.col("host") == 0))
         & (F.col("token") != "")
     )
-    one_class = valid.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("token", "pages", "total", "chars")).alias("members"))
-    return one_class.groupBy(F.col("host").alias("of_host")).agg(F.flatten(F.collect_list("members")).alias("classes"))
+    members = F.collect_list(F.struct("token", "vector", "pages", "total", "chars"))
+    return valid.groupBy(F.col("host").alias("of_host")).agg(members.alias("classes"))
 
 
 def extracted(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:

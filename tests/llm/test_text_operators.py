@@ -185,6 +185,50 @@ def test_extraction_without_an_article_uses_the_template():
     assert op06_template.extract(pages[2], template) == "\n".join(f"Body 2 {k} of some length here" for k in range(3))
 
 
+def test_equivalence_classes_decide_the_fixed_text(spark):
+    """Plain classes of whole hosts and Spark agree; texts go or stay by the class they are in."""
+    frame = "<html><body><article><h1>Title {0}</h1>{1}<p>Body {0} of some length, told at leisure</p>{2}</article></body></html>"
+    often = "<p>Seen on most pages but with nothing else</p>"
+    notice = "<p>All rights reserved.</p>"
+    news = [frame.format(i, notice, often if i < 6 else "") for i in range(8)]
+    copies = [frame.format(0, "".join(f"<p>One story in part {k}, told alike on every page</p>" for k in range(3)), f"<p>{i}</p>") for i in range(6)]
+    plain = "<html><body><div id='top'><p>Entry {0} in words enough for a slot</p>{1}</div></body></html>"
+    # two texts of equal support: one always comes with its own element, the other with nothing
+    lists = [plain.format(i, ("<div class='box'>Boxed</div>" if i < 6 else "") + ("<p>Alone</p>" if i > 1 else "")) for i in range(8)]
+    hosts = {"news": news, "copies": copies, "lists": lists}
+    rows = [(i, f"http://{h}.example/{i}", x) for h, pages in hosts.items() for i, x in enumerate(pages)]
+    rows += rows[:1] * 9 + [(90, "http://news.example/90", news[0])]  # copies are one page
+    got = op06_template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r["url"]: r["text"] for r in got}
+    assert len(got) == len(rows)
+    for i in range(8):
+        body = f"Title {i}\nBody {i} of some length, told at leisure"
+        assert texts[f"http://news.example/{i}"] == body + ("\nSeen on most pages but with nothing else" if i < 6 else "")
+        assert texts[f"http://lists.example/{i}"] == f"Entry {i} in words enough for a slot" + ("\nAlone" if i > 1 else "")
+    for i in range(6):
+        assert texts[f"http://copies.example/{i}"].count("One story") == 3
+
+    for name, pages in hosts.items():
+        vectors, chars = {}, Counter()
+        for at, page in enumerate(pages):
+            for path, text in op06_template.blocks(page):
+                for token in [op06_template._fixed(path, text)] if text else [path]:
+                    vectors.setdefault(token, Counter())[at] += 1
+                if text:
+                    chars[path] += len(text)
+                    chars[op06_template._fixed(path, text)] += len(text)
+        classes = [
+            {"token": t, "vector": tuple(sorted(v.items())), "pages": len(v), "total": sum(v.values()), "chars": chars[t]}
+            for t, v in vectors.items()
+            if 2 * len(v) >= len(pages)
+        ]
+        template = op06_template.nested(classes, op06_template.Settings())
+        assert [op06_template.extract(x, template) for x in pages] == [texts[f"http://{name}.example/{i}"] for i in range(len(pages))]
+        if name == "lists":  # another grouping, another template
+            merged = [{**r, "vector": 0} for r in classes]
+            assert op06_template.nested(merged, op06_template.Settings()) != template
+
+
 def test_extraction_of_broken_markup():
     article = "<article><h1>A &amp; B</h1><p><b>one\n two<br><p>three</p><aside>no</aside><ul><li>x<li>y</ul><div class='comments'>no</div><!-- no --></article>"
     page = f"<body><header>no</header><nav>no<ul><li>no</nav>{article}<footer>no</footer>"
