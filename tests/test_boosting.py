@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lossledger.operators import boosting
 from lossledger.params import Params
@@ -167,3 +168,37 @@ def test_tasks_of_many_devices_and_replay_over_batches(spark, split, monkeypatch
         assert r["p50"] == want[r["ts"], r["inverter"]]
     plan = boosting.with_trees(odd, some, params)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan  # trees are not repeated on every row
+
+
+def test_pooled_trees_stop_as_after_all_rounds(spark, monkeypatch):
+    """Growing in stages keeps the very trees of a fit of all rounds, and never grows all where it need not."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from lossledger.operators import twin
+
+    columns = [F.rand(seed).alias(name) for seed, name in enumerate(twin.FEATURES)]
+    rows = spark.range(0, 600, 1, 3).select(
+        (F.lit("2017-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("id"))).alias("ts"),
+        F.lit("a").alias("inverter"), *columns, F.rand(91).alias("p50_physics_kw"), F.lit(0.9).alias("eta_system"), F.lit(2.0).alias("kwp"),
+        (F.rand(92) + 0.4 * F.rand(0)).alias("p_ac_kw"), F.lit(True).alias("is_fit"),
+    )
+    split = rows.persist()
+    fit, asked = GBTRegressor._fit, []
+    monkeypatch.setattr(GBTRegressor, "_fit", lambda self, rows: asked.append(self.getMaxIter()) or fit(self, rows))
+    params = Params(gbt_iterations=30, gbt_depth=2, gbt_min_instances=5, gbt_patience=2, gbt_validation_share=0.3)
+    model = twin.fit_gbt(split, params)
+    kept = model.stages[-1]
+    assert asked[0] == 4 and sum(asked) < 30
+    ready = VectorAssembler(inputCols=[*twin.FEATURES, "p50_physics_kw", "eta_system", "kwp"], outputCol="features").transform(split)
+    ready = ready.withColumn("label", F.col("p_ac_kw") / F.col("kwp")).withColumn(
+        "held", F.pmod(F.xxhash64("ts", "inverter", F.lit(params.seed)), F.lit(1000)) < 300
+    )
+    whole = GBTRegressor(maxIter=30, stepSize=params.gbt_step, maxDepth=2, minInstancesPerNode=5, maxBins=params.gbt_bins, seed=params.seed)
+    whole = whole.fit(ready.where("not held").select("features", "label"))
+    rounds = twin.best_rounds(whole.evaluateEachIteration(ready.where("held").select("features", "label"), "squared"), 2)
+    body = lambda tree: tree.toDebugString.split("\n", 1)[1]  # noqa: E731 - after the line that holds the uid
+    assert kept.getNumTrees == rounds and [body(t) for t in kept.trees] == [body(t) for t in whole.trees[:rounds]]
+    assert kept.treeWeights == whole.treeWeights[:rounds]
+    total = sum(w * t.predict(ready.first()["features"]) for w, t in zip(kept.treeWeights, kept.trees))
+    assert np.isclose(model.transform(split).first()["prediction"], total)
