@@ -420,7 +420,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings
 
     A stage returns the columns of documents and nothing else, so the mixture of the rows' slim form
     (id, source, size, checksum and text hash: no text is shuffled) goes to ``order_folder`` of these
-    rows, with its position (slot x block rows + place), where the sharding stage reads it.
+    rows, with its slot, place and position (slot x block rows + place), where the sharding stage reads it.
     """
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     slim = settled(
@@ -434,5 +434,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings
     )
     mix = mixed(slim, STAGE_WEIGHTS, settings, carry=True, tie=F.col("text_hash"))
     position = (F.col("slot") * settings.block_rows + F.col("place")).alias("position")
-    mix.select("row.doc_id", "row.source", "row.size", "row.text_crc32", position).write.mode("overwrite").parquet(order_folder(spark, docs))
+    mix.select("row.doc_id", "row.source", "row.size", "row.text_crc32", "slot", "place", position).write.mode("overwrite").parquet(order_folder(spark, docs))
     return docs

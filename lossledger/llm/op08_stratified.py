@@ -9,6 +9,9 @@ hot source spreads over many tasks; texts are read once and not shuffled.
 Cases: a null text has size 1 and the checksum of no bytes; a null source and an empty one are one source;
 rows that repeat an id are placed by checksum and size, equal rows in either order; an empty table gives
 an empty result.
+
+In the pipeline the mixing stage has dealt the rows to turns (its slots). The same method then runs in each
+turn: ranks and fractional ranks are those within the turn and source, and turns follow each other.
 """
 
 from __future__ import annotations
@@ -39,27 +42,25 @@ def shards(docs: DataFrame, count: int = SHARDS, seed: int = SEED) -> DataFrame:
     )
 
 
-def cut(rows: DataFrame, count: int = SHARDS, interleaved: bool = False) -> DataFrame:
+def cut(rows: DataFrame, count: int = SHARDS, span: int = 1 << 60) -> DataFrame:
     """Shards of (doc_id, stratum, size, text_crc32, h): rows ranked by ``h`` within their stratum.
 
-    ``interleaved``: ``h`` (non-negative) is already an interleaving of the strata (the pipeline's
-    mixture position, where every stretch holds each source in its target share); it takes the place of
-    the fractional rank, so the cut into equal runs makes shards that match that mixture.
+    ``h`` is from 0 to less than ``span``. Rows may have a long ``turn`` (from 0): turns are laid one after
+    the other, and the strata of each are interleaved by their fractional ranks in it.
     """
-    rows = settled(rows)
-    scale = float((rows.agg(F.max("h")).first()[0] or 0) + 1) if interleaved else float(1 << 60)
-    strata = settled(rows.groupBy("stratum").agg(F.count("*").alias("stratum_rows")))
+    rows = settled(rows if "turn" in rows.columns else rows.withColumn("turn", F.lit(0).cast("long")))
+    turns = (rows.agg(F.max("turn")).first()[0] or 0) + 1
+    strata = settled(rows.groupBy("turn", "stratum").agg(F.count("*").alias("stratum_rows")))
     total = strata.agg(F.sum("stratum_rows")).first()[0] or 0
-    sized = rows.join(small_side(strata), "stratum").withColumn("bucket", bucket(F.col("h") / scale, F.col("stratum_rows")))
+    sized = rows.join(small_side(strata), ["turn", "stratum"]).withColumn("bucket", bucket(F.col("h") / float(span), F.col("stratum_rows")))
     ties = [F.col("h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    within = ranked(sized, ["stratum"], ties, "rank")
-    fraction = F.col("h") / scale if interleaved else (2 * F.col("rank") + 1) / (2.0 * F.col("stratum_rows"))
+    within = ranked(sized, ["turn", "stratum"], ties, "rank")
     placed = settled(
-        within.withColumn("part", fraction)
+        within.withColumn("part", (2 * F.col("rank") + 1) / (2.0 * F.col("stratum_rows")))
         .withColumn("total", F.lit(total).cast("long"))
-        .withColumn("bucket", bucket(F.col("part"), F.col("total")))
+        .withColumn("bucket", bucket((F.col("turn") + F.col("part")) / float(turns), F.col("total")))
     )
-    order = [F.col("part"), F.col("stratum"), *ties]
+    order = [F.col("turn"), F.col("part"), F.col("stratum"), *ties]
     line = ranked(placed.withColumn("all", F.lit(0)), ["all"], order, "place")
     shard = F.expr(f"place * {count} div total")
     first = F.expr(f"((place * {count} div total) * total + {count - 1}) div {count}")
@@ -79,12 +80,13 @@ def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the mixture's interleaving cut into shards of equal row counts.
+    """Last pipeline stage: the mixture cut into shards of equal row counts.
 
-    DataFrame functions only. The mixing stage kept its rows with their mixture position under
-    ``op03_pfair.order_folder`` of these very rows; that position takes the place of the fractional
-    rank, so each shard is a stretch of the mixture and holds every source in its target share. Without
-    it (the stage run on its own) the seeded hash and the fractional rank order them, as in ``shards``.
+    DataFrame functions only. The mixing stage kept its rows with their slot and place there under
+    ``op03_pfair.order_folder`` of these very rows. Slots are the turns of ``cut`` and places the order
+    within a stratum, so each shard is a stretch of the mixture. A slot that holds rows of several
+    sources (those without a line of their own) has them interleaved by their fractional ranks. Without
+    the mixture (the stage run on its own) all rows are one turn, ordered by the seeded hash, as in ``shards``.
     """
     folder = op03_pfair.order_folder(spark, docs)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -95,9 +97,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("stratum"),
         "size",
         "text_crc32",
-        F.col("position").alias("h"),
+        F.col("slot").alias("turn"),
+        F.col("place").alias("h"),
     )
-    return cut(placed, SHARDS, interleaved=True)
+    span = placed.agg(F.max("h")).first()[0]
+    return cut(placed, SHARDS, (span or 0) + 1)
 
 
 #: The same rows from plain windows. DuckDB has no CRC-32: it is folded over each text's bytes.

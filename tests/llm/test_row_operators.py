@@ -184,3 +184,24 @@ def test_every_shard_matches_the_mixture(spark):
     whole = docs.groupBy("source").count().collect()
     n = {r["source"]: r["count"] for r in whole}
     assert all(abs(r["count"] - n[r["source"]] / 16) <= 2 for r in got)
+
+
+def test_sharding_stage_interleaves_the_sources_of_a_slot_by_fractional_rank(spark):
+    """Sources without a line of their own share slots of the mixture."""
+    rows = [(i, f"s{min(i % 23, 11)}", f"t{i}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    settings = op03_pfair.Settings(max_sources=4)
+    op03_pfair.stage(spark, docs, "", settings).count()
+    mixture = spark.read.parquet(op03_pfair.order_folder(spark, docs)).select("slot", "place", "source", "doc_id").collect()
+    wanted = []
+    for slot in sorted({r["slot"] for r in mixture}):
+        held = {}
+        for r in sorted((r for r in mixture if r["slot"] == slot), key=lambda r: r["place"]):
+            held.setdefault(r["source"], []).append(r["doc_id"])
+        line = sorted(((2 * i + 1) / (2 * len(x)), s, d) for s, x in held.items() for i, d in enumerate(x))
+        wanted += [d for _, _, d in line]
+    assert wanted != [r["doc_id"] for r in sorted(mixture, key=lambda r: (r["slot"], r["place"]))]
+    got = op08_stratified.stage(spark, docs, "").orderBy("shard", "slot").collect()
+    assert [r["doc_id"] for r in got] == wanted
+    sizes = [sum(r["shard"] == k for r in got) for k in range(16)]
+    assert max(sizes) - min(sizes) <= 1
