@@ -102,6 +102,41 @@ def test_attention_learns_from_every_text(spark, prose):
         assert any(np.abs(plain.weights[k] - turned.weights[k]).max() > 1e-4 for k in plain.weights)
 
 
+def test_attention_numbers_a_block_once_and_steps_down_the_loss(prose):
+    """A round needs no text, only a block in numbers; its step is the slope of the loss that scoring gives."""
+    op = op04_attention
+    settings = op.Settings(topics=2, batch=1000)
+    ranks = op.first_ranks(op.VOCABULARY, settings.subwords)
+    coder, words = op.Subwords(ranks), [op.END, b"the", b"of"]
+    texts = [prose(40 + 9 * i, i).encode() for i in range(8)] + [b"", b"the of the", "\u00e9t\u00e9 \u00e9t\u00e9".encode()]
+    chains = np.log10(np.random.default_rng(1).dirichlet(np.ones(len(ranks) + 1), (3, len(ranks) + 1))).astype(np.float32).reshape(3, -1)
+    features = np.random.default_rng(2).dirichlet(np.ones(2), 3)
+    weights = op._start(len(ranks), settings)
+    model = op.Model(ranks, words, np.log10(np.full((3, 3), 0.2)), features, chains, np.log10([0.3, 0.7]), np.full(3, -3.0), weights, settings.window, 0)
+
+    made = op.Block.of(texts, {w: i for i, w in enumerate(words)}, coder)
+    block = op.Block.unpacked(made.packed())
+    assert all(np.array_equal(getattr(made, k), getattr(block, k)) for k in vars(made))
+    starts = np.r_[0, np.cumsum(block.lengths)]
+    parts, share = op.word_parts(model, coder, block, starts)
+    windows, targets, live = op.windows_of(block.flat, block.sizes, settings.window, block.end)
+
+    def loss(changed):
+        model.weights = changed
+        vectors = np.concatenate([op.mean_vectors(changed["E"], block.ids, starts), share], 1)
+        logs = op.window_logs(model, vectors[windows], np.log10(parts[targets]).astype(np.float32), np.ones(windows.shape, bool), windows, targets)
+        return -np.where(live, logs, 0).sum() * np.log(10) / live.sum()
+
+    zero = op.Pace(*({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2)))
+    coder.coder = None  # no word is cut again
+    _, pace, count = op.train(model, zero, block, coder, settings, np.random.default_rng(0))
+    assert count == len(windows) < settings.batch
+    for k, slope in ((k, 10 * v.astype(float)) for k, v in pace.first.items()):
+        step = 0.01 / np.abs(slope).max()
+        rise = loss(weights | {k: weights[k] + step * slope}) - loss(weights | {k: weights[k] - step * slope})
+        assert math.isclose(rise / (2 * step), (slope**2).sum(), rel_tol=0.02), k
+
+
 def test_windows_score_each_token_once(prose):
     """A window as long as the text, and short overlapping ones with full context, agree where both see all."""
     ranks = op04_attention.first_ranks(op04_attention.VOCABULARY, 512)
