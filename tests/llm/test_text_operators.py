@@ -153,6 +153,8 @@ def test_windows_score_each_token_once(prose):
     long = op04_attention.score_texts(texts, op04_attention.Lexicon(model(200, 16)))
     short = op04_attention.score_texts(texts, op04_attention.Lexicon(model(12, 6)))
     assert np.allclose(long, short, rtol=1e-5)
+    many = op04_attention.score_texts([prose(30, 2).encode(), *texts * 9], op04_attention.Lexicon(model(12, 6)))
+    assert set(many[1:]) == set(short)  # to the last bit, wherever a text lies
 
 
 def edit_distance_inside(pattern, text):
