@@ -61,3 +61,10 @@ def test_devices_of_the_health_chain_are_not_broadcast(small):
     assert small.run.health.count() > 0
     steps = "eta fleet error_intervals split_rows holdout metrics models health".split()
     assert {s: small.staging.broadcast[s] for s in steps} == {s: [] for s in steps}
+
+
+def test_bands_errors_and_tariffs_of_intervals_are_not_broadcast(small):
+    """q_inverter_timeseries: the bands and the priced intervals behind it."""
+    assert broadcast_keys(small.run.predictions) == []
+    assert small.run.intervals.count() > 0
+    assert {s: small.staging.broadcast[s] for s in ("tariffs_monthly", "loss_intervals")} == {"tariffs_monthly": [], "loss_intervals": []}
