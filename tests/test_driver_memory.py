@@ -68,3 +68,11 @@ def test_bands_errors_and_tariffs_of_intervals_are_not_broadcast(small):
     assert broadcast_keys(small.run.predictions) == []
     assert small.run.intervals.count() > 0
     assert {s: small.staging.broadcast[s] for s in ("tariffs_monthly", "loss_intervals")} == {"tariffs_monthly": [], "loss_intervals": []}
+
+
+def test_devices_and_months_of_the_ledger_are_not_broadcast(small):
+    """q_plant_facts, q_ledger_filtered, q_heatmap: trend, overlap and tickets on the way to the ledger."""
+    assert broadcast_keys(small.run.adjusted) == []
+    assert small.run.ledger.count() > 0
+    steps = "slopes ledger_raw degradation_loss ledger".split()
+    assert {s: small.staging.broadcast[s] for s in steps} == {s: [] for s in steps}
