@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from lossledger.operators.quantiles import exact_quantiles
 from lossledger.plans import driver_tables
 from lossledger.sources import Staging
 
@@ -76,3 +77,22 @@ def test_devices_and_months_of_the_ledger_are_not_broadcast(small):
     assert small.run.ledger.count() > 0
     steps = "slopes ledger_raw degradation_loss ledger".split()
     assert {s: small.staging.broadcast[s] for s in steps} == {s: [] for s in steps}
+
+
+def test_devices_of_the_tree_ledger_are_not_broadcast(small):
+    """q_by_year_cause_trees: held-out rows, models and bands of the trees."""
+    assert small.tree_run.ledger.count() > 0
+    steps = "tree_fit tree_metrics models_trees loss_intervals_trees degradation_loss_trees ledger_trees".split()
+    assert {s: small.staging.broadcast[s] for s in steps} == {s: [] for s in steps}
+
+
+def test_rows_of_quantiles_are_not_broadcast(spark, tmp_path):
+    """q_by_year_cause_trees: the fleet's curve; only the wanted slices of a few bins may travel whole."""
+    spark.range(3000).selectExpr("cast(id % 4 as int) as bin", "id * 7919 % 3001 / 7.0D as v").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    for keys, many, join in ((["bin"], False, "BroadcastHashJoin"), ([], False, "BroadcastHashJoin"), (["bin"], True, "SortMergeJoin")):
+        found = exact_quantiles(rows, keys, "v", {"m": 0.5}, many_groups=many)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert re.findall(r"(?:BroadcastHash|SortMerge)Join", plan) == [join]
+        assert "BuildLeft" not in plan
+        assert found.count() == (4 if keys else 1)
