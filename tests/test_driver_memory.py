@@ -79,6 +79,13 @@ def test_devices_and_months_of_the_ledger_are_not_broadcast(small):
     assert {s: small.staging.broadcast[s] for s in steps} == {s: [] for s in steps}
 
 
+def test_tickets_are_not_broadcast(small):
+    """q_cumulative_loss: events meet tickets by device and span; tickets get their names by device."""
+    assert broadcast_keys(small.run.lead_events) == []
+    assert small.run.tickets.count() > 0
+    assert small.staging.broadcast["tickets"] == []
+
+
 def test_devices_of_the_tree_ledger_are_not_broadcast(small):
     """q_by_year_cause_trees: held-out rows, models and bands of the trees."""
     assert small.tree_run.ledger.count() > 0
